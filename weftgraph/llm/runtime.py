@@ -1,61 +1,18 @@
-"""What the operators share: code on the workers, cuts in the lineage, words, column names."""
+"""What the operators share: words, column names, and from the library code on the workers and cuts in the lineage."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.plans.lineage import cut, ship
+
+__all__ = ["NOT_SPACE", "SPACE", "cut", "fresh", "read", "ship", "words_of"]
+
 #: The characters that separate words, as a class for Java's and Python's expressions.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 
-_PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of every executor, once per application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    path = os.path.join(tempfile.mkdtemp(), f"{os.path.basename(_PACKAGE)}.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(_PACKAGE):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(_PACKAGE)))
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once, in the shared checkpoint folder, so that lost executors cost no recomputation.
-
-    The folder is the session's ``spark.checkpoint.dir``; only a local session without one gets its own.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Hold ``df`` for the few jobs that read it again; lost parts are recomputed."""
-    return df.persist(StorageLevel.DISK_ONLY)
-
-
 def words_of(text: Column) -> Column:
     """The words of a text, in order; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
