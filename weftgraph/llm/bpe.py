@@ -308,13 +308,13 @@ def decode(ids: Column, vocabulary: Vocabulary) -> Column:
     return decoded(ids)
 
 
-def round_trip(text: Column, vocabulary: Vocabulary) -> Column:
-    """``struct<n_tokens, ids_sha256, decoded_sha256>``: what :func:`encode` and then :func:`decode` give, as digests.
+def round_trip(text: Column, vocabulary: Vocabulary, with_ids: bool = False) -> Column:
+    """``struct<n_tokens, ids_sha256, decoded_sha256>``: what :func:`encode` and then :func:`decode` give, as digests;
+    with the ``ids`` themselves if they are asked for.
 
     Both run in one pass over the text, so that the ids need not go to the JVM and back.
     """
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = vocabulary.encoder()
         for texts in batches:
@@ -322,10 +322,11 @@ def round_trip(text: Column, vocabulary: Vocabulary) -> Column:
             for array in encoder.encode(texts):
                 ids = array.tolist()
                 line = ",".join(map(encoder.decimals.__getitem__, ids))
-                rows.append((len(ids), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                row = (len(ids), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest())
+                rows.append((*row, array) if with_ids else row)
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
-    return digests(text)
+    return F.pandas_udf(digests, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)(text)
 
 
 def encode_documents(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:

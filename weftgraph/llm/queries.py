@@ -13,12 +13,16 @@ from weftgraph.llm.minhash import op6_minhash_dedup
 from weftgraph.llm.mixing import op9_mix_sources
 from weftgraph.llm.quality_rules import op2_quality_rules
 from weftgraph.llm.token_count import op8_token_counts
+from weftgraph.llm.url_templates import op4_url_templates
+from weftgraph.llm.vector_dedup import op3_vector_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
         "op2_quality_rules": op2_quality_rules,
+        "op3_vector_dedup": op3_vector_dedup,
+        "op4_url_templates": op4_url_templates,
         "op5_toxicity": op5_toxicity,
         "op6_minhash_dedup": op6_minhash_dedup,
         "op7_chat_format": op7_chat_format,
