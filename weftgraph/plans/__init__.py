@@ -1 +1 @@
-
+"""Iterative plans: component algorithms, and what cuts their lineage."""

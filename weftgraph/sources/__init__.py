@@ -1 +1 @@
-
+"""Readers and writers of graph files, and generators of random graphs."""

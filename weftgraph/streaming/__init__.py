@@ -1 +1 @@
-
+"""Nothing here: the queries of this engine are iterations over whole graphs, and none of them takes a stream."""
