@@ -38,4 +38,5 @@ def uniform_below(v: Column, n: int, seed: int, iteration: int = 0) -> Column:
 
 def hashed(a: Column, b: Column, seed: int) -> Column:
     """A number below 2^31 - 1 of two ids, for samples that can be repeated."""
-    return F.pmod(F.pmod(a, F.lit(MODULUS)) * 48271 + F.pmod(b, F.lit(MODULUS)) * MULTIPLIER + seed, F.lit(MODULUS))
+    mixed = F.pmod(F.pmod(a, F.lit(MODULUS)) * 48271 + F.pmod(b, F.lit(MODULUS)) * MULTIPLIER + seed, F.lit(MODULUS))
+    return _next(_next(mixed))

@@ -344,7 +344,7 @@ def oracle_sql() -> dict[str, str]:
         "is_adjacent": _sql("parts", f"SELECT a, p.b AS b, EXISTS (SELECT 1 FROM b x WHERE x.src=p.a AND x.dst=p.b) AS adjacent FROM ({asked}) p"),
         "duplicate_edges": "SELECT l_partkey*2 AS src, l_suppkey*2+1 AS dst, count(*) AS times FROM lineitem GROUP BY 1,2 HAVING count(*)>1",
         "high_degree_vertices": _sql("parts", "SELECT src AS v, count(*) AS degree FROM b GROUP BY src HAVING count(*) >= (SELECT floor(0.2*sqrt(CAST(count(*) AS DOUBLE))) FROM vs)"),
-        "sampled_neighborhood": _sql("parts", f"SELECT src, dst FROM b WHERE ((src%2147483647)*48271+(dst%2147483647)*16807+{SEED})%2147483647 < {int(0.25 * 2147483647)}"),
+        "sampled_neighborhood": _sql("parts", f"SELECT src, dst FROM b WHERE ((((src%2147483647)*48271+(dst%2147483647)*16807+{SEED})%2147483647*16807)%2147483647*16807)%2147483647 < {int(0.25 * 2147483647)}"),
         "vertex_degree": _sql("parts", "SELECT src AS v, count(*) AS degree FROM b GROUP BY src"),
         "graph_size": _sql("parts", "SELECT (SELECT count(*) FROM vs) AS n, count(*) AS m FROM (SELECT DISTINCT least(src,dst), greatest(src,dst) FROM e)"),
         "sorted_edges": _sql("parts", "SELECT src, dst FROM e ORDER BY src, dst"),
