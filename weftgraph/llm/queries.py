@@ -11,11 +11,14 @@ from weftgraph.llm.chat_format import op7_chat_format
 from weftgraph.llm.factorization import op1_quality_classifier, op5_toxicity
 from weftgraph.llm.minhash import op6_minhash_dedup
 from weftgraph.llm.mixing import op9_mix_sources
+from weftgraph.llm.oracles import oracle_sql
 from weftgraph.llm.quality_rules import op2_quality_rules
 from weftgraph.llm.token_count import op8_token_counts
 from weftgraph.llm.url_templates import op4_url_templates
 from weftgraph.llm.vector_dedup import op3_vector_dedup
 
+__all__ = ["oracle_sql", "queries"]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -30,7 +33,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mix_sources": op9_mix_sources,
         "op10_byte_bpe": op10_byte_bpe,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
