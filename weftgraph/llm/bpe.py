@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.runtime import fresh, read, ship
+from weftgraph.llm.runtime import fresh, read, ship, spread
 
 #: Rank of a pair that does not merge.
 NONE = np.int32(2**31 - 1)
@@ -340,5 +340,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = Vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", round_trip(F.col("text"), vocabulary).alias("r")).select("doc_id", "r.*")

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.runtime import fresh, read, ship
+from weftgraph.llm.runtime import fresh, read, ship, spread
 
 #: Labelled documents of each class that a fit takes at most, those whose ids have the least hashes.
 FIT_ROWS = 6_000
@@ -322,7 +322,7 @@ def _classify(spark: SparkSession, sf_dir: str, label: str, threshold: float, me
     docs = read(spark, sf_dir, "documents")
     classifier = fit(docs, read(spark, sf_dir, "labels"), label, metadata=metadata)
     score = classifier.score(F.col("text"), F.col(metadata) if metadata else None)
-    scored = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
+    scored = spread(docs.select("doc_id", "text", *filter(None, [metadata]))).select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

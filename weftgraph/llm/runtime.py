@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.plans.lineage import cut, ship
 
-__all__ = ["NOT_SPACE", "SPACE", "cut", "fresh", "read", "ship", "words_of"]
+__all__ = ["NOT_SPACE", "SPACE", "cut", "fresh", "read", "ship", "spread", "words_of"]
 
 #: The characters that separate words, as a class for Java's and Python's expressions.
 SPACE = r"[\x20\x09-\x0D]"
@@ -31,5 +31,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of few files, dealt out to all cores; a scan with splits for all of them stays as it is.
+
+    Only for plain scans: of another plan, finding the number of partitions could run part of it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.bpe import SLICE, Splitter
-from weftgraph.llm.runtime import read, ship
+from weftgraph.llm.runtime import read, ship, spread
 
 #: Entries of the broadcast table at most.
 FREQUENT = 32_768
@@ -164,7 +164,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str, limit: int = 512) -> Data
     import public_tokenizers
 
     model = CountingModel(spark, public_tokenizers.path("byte_bpe_50k.json"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
     n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     counted = docs.select("doc_id", n_bytes.alias("n_bytes"), count_tokens(F.col("text"), model).alias("n_tokens"))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
