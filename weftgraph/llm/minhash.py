@@ -9,8 +9,8 @@ COORDINATES * ln COORDINATES hits in a document are thrown, whatever its length;
 twice that rank is used.
 
 Equal word sequences are one text from the start. Texts that share a band are not all paired: a band's first text is
-verified against the others, the links give components, and only texts of a band that are still apart are then
-paired. So no link between texts that share a band is lost.
+verified against the others, the links give components, and where a band has texts of several components left, those
+outside the largest are compared with all, in blocks. So no link between texts that share a band is lost.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.runtime import cut, fresh, read, ship
+from weftgraph.llm.runtime import cut, fresh, read, ship, spread
 from weftgraph.plans.components import Graph, connected_components
+from weftgraph.plans.unionfind import forest_edges
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -34,6 +35,8 @@ BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
 #: Shingles whose darts are thrown together.
 SLICE = 1 << 18
+#: Texts of a side of a block of a band.
+BLOCK = 512
 #: Words that a worker remembers.
 REMEMBERED = 300_000
 U = np.uint64
@@ -218,6 +221,63 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInPandas(_verify(threshold), "a long, b long").distinct()
 
 
+def _compare(threshold: float):
+    def compare(members: pd.DataFrame) -> pd.DataFrame:
+        """Links between the few (role 1) and all (role 0) of a group, as stars; pairs of one label are passed over."""
+        members = members.sort_values(["role", "rep"], kind="stable")
+        every, few = members[members["role"] == 0], members[members["role"] == 1]
+        sets = [_elements(split_words(t)) for t in every["text"]]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        owner, element = np.repeat(np.arange(len(sets)), sizes), np.concatenate([*sets, np.empty(0, np.uint64)])
+        order = np.argsort(element, kind="stable")
+        owner, element = owner[order], element[order]
+        rep, label = every["rep"].to_numpy(np.int64), every["label"].to_numpy(np.int64)
+        ends: list[tuple[np.ndarray, np.ndarray]] = []
+        for a, la, text in zip(few["rep"], few["label"], few["text"]):
+            own = _elements(split_words(text))
+            low, high = np.searchsorted(element, own), np.searchsorted(element, own, side="right")
+            n = high - low
+            places = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            common = np.bincount(owner[places], minlength=len(sets))
+            hit = (common >= threshold * (len(own) + sizes - common)) & (label != la)
+            ends.append((np.full(int(hit.sum()), a, np.int64), rep[hit]))
+        src, dst = (np.concatenate(x) for x in zip(*ends)) if ends else (np.empty(0, np.int64),) * 2
+        src, dst = forest_edges(src, dst)
+        return pd.DataFrame({"a": src, "b": dst})
+
+    return compare
+
+
+def _elements(words: list[str]) -> np.ndarray:
+    """A text's shingles with their occurrences as elements of their own, so that a plain intersection counts them."""
+    h, n = weighted(words)
+    which = np.repeat(np.arange(len(h)), n)
+    with np.errstate(over="ignore"):
+        return mix(h[which] + U(0xA0761D6478BD642F) * (np.arange(len(which)) - (np.cumsum(n) - n)[which]).astype(np.uint64))
+
+
+def _within_bands(apart: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Links between texts of a band (``band, rep, label``) with different labels.
+
+    In each band the texts that do not have its most frequent label are compared with all, in blocks of BLOCK by BLOCK
+    texts; pairs are never put out, only links. Bands of the same texts are searched once.
+    """
+    counts = apart.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y"))
+    bands = counts.groupBy("band").agg(F.sum("k").alias("n"), F.max(F.struct("k", "label")).alias("most"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where(F.col("n") > F.col("most.k"))
+    once = bands.groupBy("n", "x", "y").agg(F.min(F.struct("band", "most")).alias("one"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    plan = once.select(F.col("one.band").alias("band"), F.col("one.most.label").alias("major"), blocks(F.col("n")).alias("all"), blocks(F.col("n") - F.col("one.most.k")).alias("few"))
+    members = cut(apart.join(plan, "band"))
+    block = lambda n: F.pmod(F.xxhash64(F.lit(2), "rep"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    every = members.select("band", "rep", "label", upto("few").alias("i"), block("all").alias("j"), F.lit(0).alias("role"))
+    few = members.where(F.col("label") != F.col("major")).select("band", "rep", "label", block("few").alias("i"), upto("all").alias("j"), F.lit(1).alias("role"))
+    wanted = members.select(F.col("rep").alias("want")).distinct()
+    texts = docs.join(wanted, F.col("doc_id") == F.col("want"), "left_semi").select(F.col("doc_id").alias("of"), "text")
+    placed = every.unionByName(few).join(texts, F.col("rep") == F.col("of")).select("band", "i", "j", "role", "rep", "label", "text")
+    return placed.groupBy("band", "i", "j").applyInPandas(_compare(threshold), "a long, b long")
+
+
 def _labelled(links: DataFrame) -> DataFrame:
     edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     return connected_components(Graph.of(edges))
@@ -249,15 +309,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     tried = cut(shared.where(F.col("first") != F.col("rep")).select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct())
     links = cut(verified(tried, named, threshold))
 
-    # what a band still has apart is paired
+    # what a band still has apart is compared within the band
     labels = cut(_labelled(links))
     apart = shared.join(labels, shared["rep"] == labels["v"], "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
-    mixed = apart.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("band")
-    open_ = apart.join(mixed, "band")
-    left = open_.select("band", F.col("rep").alias("a"), F.col("label").alias("la"))
-    right = open_.select("band", F.col("rep").alias("b"), F.col("label").alias("lb"))
-    pairs = left.join(right, "band").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b").distinct()
-    more = verified(cut(pairs.join(tried, ["a", "b"], "left_anti")), named, threshold)
+    more = cut(_within_bands(apart, named, threshold))
 
     found = _labelled(links.union(more).union(copies))
     of = found.select(F.col("v").alias("of"), F.col("label").alias("class"))
@@ -275,4 +330,4 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thr
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(spread(read(spark, sf_dir, "documents").select("doc_id", "text")))
