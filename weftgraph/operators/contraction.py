@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.partitions import Part, cut_edges, ghosts, interface
-from weftgraph.plans.components import Graph, connected_components, quotient_edges
+from weftgraph.operators.partitions import Part, cut_edges, ghosts, interface, local_components
+from weftgraph.plans.components import Graph, connected_components, default, project_back, quotient_edges
+from weftgraph.plans.lineage import cut
 
 
 def component_graph(both: DataFrame, local: DataFrame) -> DataFrame:
@@ -23,6 +24,26 @@ def local_contraction_graph(both: DataFrame, local: DataFrame, part: Part) -> Da
     return quotient_edges(both, mapping)
 
 
+def components_by_parts(both: DataFrame, vertices: DataFrame, part: Part, mode: str = "single") -> DataFrame:
+    """``v, label`` by what the parts see first: their components are contracted (``single``), twice (``twice``), or only
+    their vertices without cut edges are (``local``); what is left is solved by the default strategy and projected back."""
+    mappings: list[DataFrame] = []
+    for _ in range(2 if mode == "twice" else 1):
+        local = cut(local_components(both, vertices, part))
+        if mode == "local":
+            on_edge = interface(both, part).select(F.col("v").alias("on_edge"))
+            mapping = local.join(on_edge, F.col("v") == F.col("on_edge"), "left").select("v", F.coalesce("on_edge", "label").alias("cv"))
+        else:
+            mapping = local.select("v", F.col("label").alias("cv"))
+        mappings.append(cut(mapping))
+        both = cut(quotient_edges(both, mapping))
+        vertices = mappings[-1].select(F.col("cv").alias("v")).distinct()
+    labels = default(both, vertices)
+    for mapping in reversed(mappings):
+        labels = project_back(mapping, labels)
+    return labels
+
+
 def ghost_components(both: DataFrame, local: DataFrame, part: Part) -> DataFrame:
     """``pe, v, cv``: the component, at its owner, of each part's ghosts."""
     owned = local.select(F.col("v").alias("at"), F.col("label").alias("cv"))

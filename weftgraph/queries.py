@@ -182,6 +182,9 @@ def queries() -> dict[str, Query]:
         "cc_exponential": _cc(customers, "exponential", base=1000),
         "cc_exponential_bfs": _cc(customers, "exponential_bfs", base=1000),
         "cc_local_contraction": _cc(parts, "local_contraction", base=1000),
+        "cc_parts_single": _of(customers, lambda g: C.components_by_parts(_both(g), g.vertices, PART)),
+        "cc_parts_twice": _of(customers, lambda g: C.components_by_parts(_both(g), g.vertices, PART, "twice")),
+        "cc_parts_local": _of(turns, lambda g: C.components_by_parts(_both(g), g.vertices, PART, "local")),
         "component_sizes": _of(copies, lambda g: L.component_sizes(labels(g))),
         "component_size_histogram": _of(copies, lambda g: L.size_histogram(labels(g))),
         "num_components": _of(copies, lambda g: L.num_components(labels(g))),
@@ -329,6 +332,9 @@ def oracle_sql() -> dict[str, str]:
         "cc_exponential": cc("customers", labels),
         "cc_exponential_bfs": cc("customers", labels),
         "cc_local_contraction": cc("parts", labels),
+        "cc_parts_single": cc("customers", labels),
+        "cc_parts_twice": cc("customers", labels),
+        "cc_parts_local": cc("turns", labels),
         "component_sizes": cc("copies", "SELECT label, count(*) AS size FROM cc GROUP BY label"),
         "component_size_histogram": cc("copies", "SELECT size, count(*) AS num FROM (SELECT count(*) AS size FROM cc GROUP BY label) GROUP BY size"),
         "num_components": cc("copies", "SELECT count(*) FILTER (WHERE size>1) AS num_nontrivial, count(*) AS num_all FROM (SELECT count(*) AS size FROM cc GROUP BY label)"),
