@@ -23,7 +23,7 @@ def _distance(p: str, q: str) -> str:
     return f"CASE WHEN list_sum({p})>0 AND list_sum({q})>0 THEN round(sqrt(greatest(0.0, list_sum({terms}))),6) END"
 
 
-def quality_rules_sql(max_chars: float = 0.26, max_words: float = 0.32, min_chars: int = 200, min_words: int = 60, min_reference: int = 5000, refine: tuple[float, ...] = (0.35, 0.25)) -> str:
+def quality_rules_sql(max_chars: float = 0.26, max_words: float = 0.32, max_both: float = 0.47, min_chars: int = 300, min_words: int = 60, min_reference: int = 5000, refine: tuple[float, ...] = (0.35, 0.25)) -> str:
     count = lambda c: f"length(regexp_replace(t, {_quoted(f'[^{c}]+')}, '', 'g'))"
     classes = ", ".join(count(c) for c in CHARACTER_CLASSES)
     lists = " ".join(f"WHEN {_quoted(code)} THEN [{', '.join(map(_quoted, ws))}]" for code, ws in COMMON_WORDS.items())
@@ -55,7 +55,8 @@ counts AS (SELECT *, list_transform(list_concat(cl[:-2], [n_chars-CAST(list_sum(
 j AS ({against(f"r{len(refine)}")})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, js_chars, js_words,
   NOT base_failed AND NOT coalesce(list_sum(ref_words)>={min_reference} AND word_chars>={min_chars} AND js_chars>{max_chars}, false)
-  AND NOT coalesce(list_sum(ref_words)>={min_reference} AND n_words>={min_words} AND len(words)>1 AND js_words>{max_words}, false) AS kept FROM j"""
+  AND NOT coalesce(list_sum(ref_words)>={min_reference} AND n_words>={min_words} AND len(words)>1 AND js_words>{max_words}, false)
+  AND NOT coalesce(list_sum(ref_words)>={min_reference} AND word_chars>={min_chars} AND n_words>={min_words} AND len(words)>1 AND js_chars+js_words>{max_both}, false) AS kept FROM j"""
 
 
 def vector_dedup_sql() -> str:

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.runtime import NOT_SPACE, cut, read, words_of
+from weftgraph.llm.runtime import NOT_SPACE, cut, read, spread, words_of
 
 # Common words by language code.
 COMMON_WORDS = {
@@ -123,12 +123,13 @@ def held_against(counts: DataFrame, references: DataFrame) -> DataFrame:
 
 
 def apply_rules(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_chars: float = 0.26, max_words: float = 0.32, min_chars: int = 200, min_words: int = 60, min_reference: int = 5000, refine: tuple[float, ...] = (0.35, 0.25),
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_chars: float = 0.26, max_words: float = 0.32, max_both: float = 0.47, min_chars: int = 300, min_words: int = 60, min_reference: int = 5000, refine: tuple[float, ...] = (0.35, 0.25),
 ) -> DataFrame:
     """Base counts and the verdict of every document.
 
     :param max_chars: the distance of character classes above which a document of ``min_chars`` characters in words is rejected
     :param max_words: the same for common words, for a document of ``min_words`` words and a language with a list
+    :param max_both: the same for the two distances' sum, for a document that is long enough for both
     :param refine: the reference is gathered from the documents that pass the base rules, and then once more for each of
         these distances from those that lie no farther from it, so that what is to be rejected does not shape it
     :param min_reference: words of a language below which its reference rejects nothing
@@ -145,14 +146,15 @@ def apply_rules(
     judged = held_against(counts, references)
     reference_words = F.aggregate("ref_words", F.lit(0).cast("long"), lambda a, x: a + x)
     trusted = reference_words >= min_reference
-    chars_far = trusted & (F.col("word_chars") >= min_chars) & (F.col("js_chars") > max_chars)
-    words_far = trusted & (F.col("n_words") >= min_words) & (F.size("words") > 1) & (F.col("js_words") > max_words)
+    chars_told = trusted & (F.col("word_chars") >= min_chars)
+    words_told = trusted & (F.col("n_words") >= min_words) & (F.size("words") > 1)
+    far = [chars_told & (F.col("js_chars") > max_chars), words_told & (F.col("js_words") > max_words), chars_told & words_told & (F.col("js_chars") + F.col("js_words") > max_both)]
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return (
-        judged.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(chars_far, F.lit(False)) & ~F.coalesce(words_far, F.lit(False)))
+        judged.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far[0], F.lit(False)) & ~F.coalesce(far[1], F.lit(False)) & ~F.coalesce(far[2], F.lit(False)))
         .select(*base, "base_failed", "kept", "js_chars", "js_words")
     )
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_rules(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return apply_rules(spread(read(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
