@@ -24,7 +24,7 @@ from weftgraph.llm.runtime import cut, fresh, read, words_of
 #: Starting points of the rounding that are tried.
 OFFSETS = 64
 #: Documents of one source and size that are ranked together, about.
-RANKED = 50_000
+RANKED = 1_000
 #: Sources at most; their totals and tilts are held on the driver, some hundred bytes each.
 MAX_SOURCES = 1_000_000
 #: Sources up to which their table is broadcast; beyond, it is joined by a shuffle.
