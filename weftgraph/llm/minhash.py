@@ -222,29 +222,40 @@ def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
 
 
 def _compare(threshold: float):
-    def compare(members: pd.DataFrame) -> pd.DataFrame:
-        """Links between the few (role 1) and all (role 0) of a group, as stars; pairs of one label are passed over."""
-        members = members.sort_values(["role", "rep"], kind="stable")
-        every, few = members[members["role"] == 0], members[members["role"] == 1]
-        sets = [_elements(split_words(t)) for t in every["text"]]
+    def links(every: list[tuple], few: list[tuple]) -> pd.DataFrame:
+        """Links between the few and all of a group (rep, label, text), as stars; pairs of one label are passed over."""
+        sets = [_elements(split_words(text)) for _, _, text in every]
         sizes = np.array([len(x) for x in sets], np.int64)
         owner, element = np.repeat(np.arange(len(sets)), sizes), np.concatenate([*sets, np.empty(0, np.uint64)])
         order = np.argsort(element, kind="stable")
         owner, element = owner[order], element[order]
-        rep, label = every["rep"].to_numpy(np.int64), every["label"].to_numpy(np.int64)
-        ends: list[tuple[np.ndarray, np.ndarray]] = []
-        for a, la, text in zip(few["rep"], few["label"], few["text"]):
-            own = _elements(split_words(text))
+        rep, label = np.array([r for r, _, _ in every], np.int64), np.array([x for _, x, _ in every], np.int64)
+        place = {r: k for k, (r, _, _) in enumerate(every)}
+        ends: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for a, la, text in few:
+            own = sets[place[a]] if a in place and every[place[a]][2] == text else _elements(split_words(text))
             low, high = np.searchsorted(element, own), np.searchsorted(element, own, side="right")
             n = high - low
-            places = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            common = np.bincount(owner[places], minlength=len(sets))
+            common = np.bincount(owner[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(sets))
             hit = (common >= threshold * (len(own) + sizes - common)) & (label != la)
             ends.append((np.full(int(hit.sum()), a, np.int64), rep[hit]))
-        src, dst = (np.concatenate(x) for x in zip(*ends)) if ends else (np.empty(0, np.int64),) * 2
-        src, dst = forest_edges(src, dst)
+        src, dst = forest_edges(*(np.concatenate(x) for x in zip(*ends)))
         return pd.DataFrame({"a": src, "b": dst})
 
+    def compare(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Groups follow each other, so that one at a time is held: 2 * BLOCK texts."""
+        key, held = None, ([], [])
+        for batch in batches:
+            columns = (batch[c].to_numpy() for c in ("band", "i", "j", "role", "rep", "label", "text"))
+            for band, i, j, role, rep, label, text in zip(*columns):
+                if (band, i, j) != key:
+                    if held[1]:
+                        yield links(*held)
+                    key, held = (band, i, j), ([], [])
+                held[role].append((rep, label, text))
+        if held[1]:
+            yield links(*held)
+
     return compare
 
 
@@ -275,7 +286,8 @@ def _within_bands(apart: DataFrame, docs: DataFrame, threshold: float) -> DataFr
     wanted = members.select(F.col("rep").alias("want")).distinct()
     texts = docs.join(wanted, F.col("doc_id") == F.col("want"), "left_semi").select(F.col("doc_id").alias("of"), "text")
     placed = every.unionByName(few).join(texts, F.col("rep") == F.col("of")).select("band", "i", "j", "role", "rep", "label", "text")
-    return placed.groupBy("band", "i", "j").applyInPandas(_compare(threshold), "a long, b long")
+    grouped = placed.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "role", "rep")
+    return grouped.mapInPandas(_compare(threshold), "a long, b long")
 
 
 def _labelled(links: DataFrame) -> DataFrame:
