@@ -32,6 +32,8 @@ SYMBOLS = "#*$%&|<>"
 #: Small letters, white space, other letters, digits, punctuation and symbols as classes; all else makes one more.
 CHARACTER_CLASSES = [r"\p{Ll}", SPACE_CLASS, r"\p{Lu}\p{Lt}", r"""!"'(),\-.:;?""", r"\p{Lm}\p{Lo}\p{M}", r"\p{N}", SYMBOLS]
 WINDOW = 5
+#: Languages up to which the references are broadcast, some hundred bytes each; beyond, they are joined by a shuffle.
+BROADCAST_LANGUAGES = 10_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -119,7 +121,8 @@ def jensen_shannon(p: Column, q: Column) -> Column:
 def held_against(counts: DataFrame, references: DataFrame) -> DataFrame:
     """Each document's distances ``js_chars, js_words`` from its language's reference; null where there is none."""
     chars, words = jensen_shannon(F.col("classes"), F.col("ref_classes")), jensen_shannon(F.col("words"), F.col("ref_words"))
-    return counts.join(references, "lang", "left").withColumns({"js_chars": F.round(chars, 6), "js_words": F.round(words, 6)})
+    small = F.broadcast if references.count() <= BROADCAST_LANGUAGES else (lambda df: df)
+    return counts.join(small(references), "lang", "left").withColumns({"js_chars": F.round(chars, 6), "js_words": F.round(words, 6)})
 
 
 def apply_rules(
@@ -139,7 +142,7 @@ def apply_rules(
     """
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     counts = cut(document_counts(docs, doc_id, text, lang).withColumn("base_failed", failed))
-    references = language_references(counts.where(~F.col("base_failed")))
+    references = cut(language_references(counts.where(~F.col("base_failed"))))
     for limit in refine:
         near = held_against(counts, references).where(~F.col("base_failed") & (F.col("js_chars") <= limit) & ~F.coalesce(F.col("js_words") > limit, F.lit(False)))
         references = cut(language_references(near))
