@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from weftgraph.llm import bpe, factorization, minhash, mixing
 from weftgraph.llm.runtime import read
@@ -40,7 +39,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return docs.select("doc_id", "lang", "source", bpe.round_trip(F.col("text"), vocabulary, with_ids=True).alias("r")).select("doc_id", "lang", "source", "r.*")
+    return bpe.token_rows(docs, vocabulary, "doc_id", "lang", "source")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

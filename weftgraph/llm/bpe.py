@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ CELLS = 1 << 19
 REMEMBERED = 300_000
 #: Characters whose pre-tokens are held at a time.
 SLICE = 1 << 21
+#: Documents whose ids are put out at a time.
+ROWS = 1_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -308,25 +311,46 @@ def decode(ids: Column, vocabulary: Vocabulary) -> Column:
     return decoded(ids)
 
 
-def round_trip(text: Column, vocabulary: Vocabulary, with_ids: bool = False) -> Column:
-    """``struct<n_tokens, ids_sha256, decoded_sha256>``: what :func:`encode` and then :func:`decode` give, as digests;
-    with the ``ids`` themselves if they are asked for.
+def _round_trip(encoder: Encoder, texts: Iterable[str | None], with_ids: bool) -> Iterator[tuple]:
+    for array in encoder.encode(texts):
+        ids = array.tolist()
+        line = ",".join(map(encoder.decimals.__getitem__, ids))
+        row = (len(ids), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest())
+        yield (*row, array) if with_ids else row
+
+
+def round_trip(text: Column, vocabulary: Vocabulary) -> Column:
+    """``struct<n_tokens, ids_sha256, decoded_sha256>``: what :func:`encode` and then :func:`decode` give, as digests.
 
     Both run in one pass over the text, so that the ids need not go to the JVM and back.
     """
 
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = vocabulary.encoder()
         for texts in batches:
-            rows = []
-            for array in encoder.encode(texts):
-                ids = array.tolist()
-                line = ",".join(map(encoder.decimals.__getitem__, ids))
-                row = (len(ids), hashlib.sha256(line.encode()).hexdigest(), hashlib.sha256(encoder.decode(ids)).hexdigest())
-                rows.append((*row, array) if with_ids else row)
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
-
-    return F.pandas_udf(digests, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)(text)
+            yield pd.DataFrame(list(_round_trip(encoder, texts, False)), columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return digests(text)
+
+
+def token_rows(docs: DataFrame, vocabulary: Vocabulary, *columns: str, text: str = "text") -> DataFrame:
+    """``columns`` of ``docs`` with ``n_tokens, ids_sha256, decoded_sha256, ids``, ROWS rows at a time, since ids take more room
+    than their text."""
+    made = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    named = docs.select(*columns, F.col(text).alias("__text"))
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = vocabulary.encoder()
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()))
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                found = zip(*_round_trip(encoder, part.column(len(columns)).to_pylist(), True))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(x, kind) for x, kind in zip(found, kinds))], [*columns, *made])
+
+    kept = ", ".join(f"`{n}` {t}" for n, t in named.dtypes[:-1])
+    return named.mapInArrow(rows, f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")
 
 
 def encode_documents(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:

@@ -279,6 +279,7 @@ class Classifier:
 
     def model(self) -> Model:
         if self.name not in _models:
+            _models.clear()  # a worker serves one model after another; those before, and the words they have met, can go
             _models[self.name] = Model.from_bytes(self.sent.value)
         return _models[self.name]
 
