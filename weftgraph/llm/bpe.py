@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.runtime import fresh, read, ship, spread
+from weftgraph.llm.runtime import fresh, kept, read, ship, spread
 
 #: Rank of a pair that does not merge.
 NONE = np.int32(2**31 - 1)
@@ -30,7 +30,7 @@ LONG_ROW = 2048
 #: Cells of a matrix at most.
 CELLS = 1 << 19
 #: Pre-tokens that a worker remembers; beyond that it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Characters whose pre-tokens are held at a time.
 SLICE = 1 << 21
 #: Documents whose ids are put out at a time.
@@ -260,16 +260,6 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder_of(name: str, ranks: dict[bytes, int], pattern: str) -> Encoder:
-    """The worker's encoder for this vocabulary: built once, with the pre-tokens it has met."""
-    if name not in _encoders:
-        _encoders[name] = Encoder(ranks, pattern)
-    return _encoders[name]
-
-
 class Vocabulary:
     """A rank file's content, sent to the workers once. Its size is that of the file, a megabyte or so."""
 
@@ -281,7 +271,7 @@ class Vocabulary:
         self.ranks = spark.sparkContext.broadcast(load_ranks(path))
 
     def encoder(self) -> Encoder:
-        return _encoders.get(self.name) or encoder_of(self.name, self.ranks.value, self.pattern)
+        return kept(self.name, lambda: Encoder(self.ranks.value, self.pattern))
 
     def __getstate__(self):
         return {"name": self.name, "pattern": self.pattern, "ranks": self.ranks}

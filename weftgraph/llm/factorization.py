@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.runtime import fresh, read, ship, spread
+from weftgraph.llm.runtime import fresh, kept, read, ship, spread
 
 #: Labelled documents of each class that a fit takes at most, those whose ids have the least hashes.
 FIT_ROWS = 6_000
@@ -43,7 +43,7 @@ BATCH = 64
 #: Beginnings of words that are terms besides the words.
 PREFIXES = (3, 4, 5, 6)
 #: Words that a worker remembers; beyond that it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 #: Characters of the texts that are scored together.
 SLICE = 1 << 21
 _PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
@@ -267,9 +267,6 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
-_models: dict[str, Model] = {}
-
-
 class Classifier:
     """A fitted model that scores columns."""
 
@@ -278,10 +275,7 @@ class Classifier:
         self.sent = spark.sparkContext.broadcast(model)
 
     def model(self) -> Model:
-        if self.name not in _models:
-            _models.clear()  # a worker serves one model after another; those before, and the words they have met, can go
-            _models[self.name] = Model.from_bytes(self.sent.value)
-        return _models[self.name]
+        return kept(self.name, lambda: Model.from_bytes(self.sent.value))
 
     def score(self, text: Column, metadata: Column | None = None) -> Column:
         """``double``: the probability of label 1; null texts count as empty."""

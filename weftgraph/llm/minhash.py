@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.runtime import cut, fresh, read, ship, spread
+from weftgraph.llm.runtime import cut, fresh, kept, read, ship, spread
 from weftgraph.plans.components import Graph, connected_components
 from weftgraph.plans.unionfind import forest_edges
 
@@ -38,7 +38,7 @@ SLICE = 1 << 18
 #: Texts of a side of a block of a band.
 BLOCK = 512
 #: Words that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 U = np.uint64
 
 
@@ -65,14 +65,12 @@ class _Words(dict):
         return h
 
 
-_words = _Words()
-
-
 def shingle_hashes(words: list[str]) -> np.ndarray:
     """A hash of each run of SHINGLE words; of all words if they are fewer; none without words."""
-    if len(_words) > REMEMBERED:
-        _words.clear()
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    known = kept("words", _Words)
+    if len(known) > REMEMBERED:
+        known.clear()
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     if not len(h):
         return h
     n = min(SHINGLE, len(h))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.plans.lineage import cut, ship
 
-__all__ = ["NOT_SPACE", "SPACE", "cut", "fresh", "read", "ship", "spread", "words_of"]
+__all__ = ["NOT_SPACE", "SPACE", "cut", "fresh", "kept", "read", "ship", "spread", "words_of"]
 
 #: The characters that separate words, as a class for Java's and Python's expressions.
 SPACE = r"[\x20\x09-\x0D]"
@@ -31,6 +33,17 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]):
+    """What a worker has made under this name. Workers serve one operator after another; what those before kept is dropped."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A scan of few files, dealt out to all cores; a scan with splits for all of them stays as it is.
 

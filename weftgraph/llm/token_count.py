@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.bpe import SLICE, Splitter
-from weftgraph.llm.runtime import read, ship, spread
+from weftgraph.llm.runtime import kept, read, ship, spread
 
 #: Entries of the broadcast table at most.
 FREQUENT = 32_768
@@ -126,9 +126,6 @@ def frequent_lengths(model: str, most: int = FREQUENT) -> dict[str, int]:
     return {p: len(e) for p, e in zip(chosen, counter.library.encode_batch(chosen, add_special_tokens=False))}
 
 
-_counters: dict[str, TokenCounter] = {}
-
-
 class CountingModel:
     """A tokenizer file and its table of frequent pre-tokens, sent to the workers once; both are bounded by the file."""
 
@@ -140,9 +137,7 @@ class CountingModel:
         self.sent = spark.sparkContext.broadcast((model, frequent_lengths(model)))
 
     def counter(self) -> TokenCounter:
-        if self.name not in _counters:
-            _counters[self.name] = TokenCounter(*self.sent.value)
-        return _counters[self.name]
+        return kept(self.name, lambda: TokenCounter(*self.sent.value))
 
 
 def count_tokens(text: Column, model: CountingModel) -> Column:
