@@ -86,3 +86,36 @@ def test_null_ids(spark):
 
 def test_query(spark):
     assert compare(spark, SF, vector_dedup.op3_vector_dedup, oracles.vector_dedup_sql()) == ""
+
+
+def pairs(x, threshold=0.9):
+    """Links of each row, by brute force."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return np.concatenate([(x[k : k + 2000] @ x.T >= threshold).sum(axis=1) for k in range(0, len(x), 2000)]) - 1
+
+
+def near_copies(rng, n, share=1 / 3, size=64, noise=0.36):
+    """Random vectors, of which a ``share`` are distinct near copies of one."""
+    m = int(n * share)
+    centre = rng.normal(size=size)
+    x = np.concatenate([centre + noise * rng.normal(size=(m, size)), rng.normal(size=(n - m, size))])
+    return np.float32(rng.permutation(x)).astype(float)
+
+
+def test_a_third_are_near_copies(spark):
+    x = near_copies(np.random.default_rng(3), 20_000)
+    want = pairs(x)
+    assert want.sum() > 1_000_000  # it has 256 pivots before thinning
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["n_links"] for r in vector_dedup.near_duplicate_vectors(rows).collect()}
+    got = np.array([got[i] for i in range(len(x))])
+    assert (got <= want).all() and got.sum() >= 0.99 * want.sum()
+
+
+def test_a_hot_home_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "BLOCK", 48)
+    x = near_copies(np.random.default_rng(4), 900, noise=0.36)
+    want = pairs(x)
+    got = {r[0]: r[1] for r in found(spark, [(i, v) for i, v in enumerate(x.tolist())])}
+    got = np.array([got[i] for i in range(len(x))])
+    assert want.sum() > 10_000 and (got <= want).all() and got.sum() >= 0.99 * want.sum()

@@ -1,12 +1,14 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Each distinct vector is described by its nearest reference points (pivots), nearest first. Every pivot has a list of
-the vectors that name it. Two vectors are candidates if they share SHARED pivots or more; they meet in the list of the
-least pivot they share, where shared pivots are counted by the sublists of the other ones, and candidates are verified
-by their cosine. A list puts out no pairs: for each vector the number of links, and one edge into its local component.
-
-Pivots are a bounded sample of the vectors; all vectors are indexed. Long lists are split into blocks, of which all
-pairs are searched, so that a hot list is spread over tasks and loses nothing.
+Each distinct vector is described by its nearest reference points (pivots), nearest first; the first is its home. Every
+pivot has a list of the vectors that name it. Two vectors are compared if they share a pivot: those of one home in its
+list, others in the list of the least pivot they share. A list puts out no pairs: for each vector the number of
+links, and one edge into its local component.
+
+Pivots are a bounded sample of the vectors, thinned to be at least two linking angles apart: a dense cluster would
+otherwise hold many, of which its members name different ones. So it has one or a few, and all its pairs are compared.
+All vectors are indexed. Long lists are split into blocks, of which all pairs are searched, so that a hot list is
+spread over tasks and loses nothing.
 """
 
 from __future__ import annotations
@@ -24,14 +26,18 @@ from weftgraph.plans.components import Graph, connected_components
 from weftgraph.plans.unionfind import min_labels
 
 SIMILAR = 0.9
-#: Pivots that a vector names, and how many two vectors have to share.
-NEAREST, SHARED = 12, 2
-#: Pivots: about twice the square root of the number of vectors, within these bounds.
+#: Pivots that a vector names.
+NEAREST = 12
+#: Pivots before thinning: about twice the square root of the number of vectors, within these bounds.
 FEWEST_PIVOTS, MOST_PIVOTS = 32, 4096
 #: Vectors of a block of a list.
 BLOCK = 2048
-#: Candidates that are verified at a time.
+#: Pairs that are looked at one by one at a time.
 VERIFIED = 1 << 16
+#: Cosines in single precision that are no farther from the threshold than this are taken again in double precision.
+UNSURE = 1e-4
+#: Vectors of a list that have another home in common, from which they are not compared there at all.
+GUESTS = 64
 
 
 def unit(vectors: Iterable) -> np.ndarray:
@@ -69,53 +75,65 @@ def _describe(pivots: dict[int, np.ndarray]) -> Callable[[Iterable[pd.DataFrame]
     return describe
 
 
-def _candidates(pivot: int, left: list[np.ndarray], right: list[np.ndarray], same: bool, shared: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs that share ``shared`` pivots, of which ``pivot`` is the least."""
+def _met_before(pivot: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Of pairs of rows of named pivots: whether a pivot less than ``pivot`` is in both."""
+    return ((left[:, :, None] == right[:, None, :]) & (left[:, :, None] < pivot)).any(axis=(1, 2))
 
-    def sublists(lists: list[np.ndarray]) -> dict[int, np.ndarray]:
-        flat = np.concatenate(lists)
-        owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        order = np.argsort(flat, kind="stable")
-        names, start = np.unique(flat[order], return_index=True)
-        return dict(zip(names.tolist(), np.split(owner[order], start[1:])))
 
-    count = np.ones((len(left), len(right)), np.uint8)
-    earlier = np.zeros(count.shape, bool)
-    a = sublists(left)
-    b = a if same else sublists(right)
-    for q in a.keys() & b.keys():
-        if q < pivot:
-            earlier[np.ix_(a[q], b[q])] = True
-        elif q > pivot:
-            count[np.ix_(a[q], b[q])] += 1
-    found = (count >= shared) & ~earlier
-    if same:
-        found = np.triu(found, 1)
-    return np.nonzero(found)
+def _spanning(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some of the pairs in ``hit`` that connect what all of them connect."""
+    rows, columns = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
+    i, j = np.r_[rows, hit[:, columns].argmax(axis=0)], np.r_[hit[rows].argmax(axis=1), columns]
+    root = min_labels(i, len(hit) + j, sum(hit.shape))
+    a, b = np.nonzero(hit & (root[: len(hit), None] != root[None, len(hit) :]))
+    return np.r_[i, a], np.r_[j, b]
 
 
 def _search(threshold: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def search(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
         pivot, one, other = key
         members = members.sort_values(["rep", "k1", "k2"], kind="stable").reset_index(drop=True)
-        same = one == other
-        in_left = (members["block"] == one).to_numpy()
-        left, right = np.flatnonzero(in_left), np.flatnonzero(in_left if same else ~in_left)
+        x, n = unit(members["embedding"]), members["n"].to_numpy(np.int64)
+        short, named = x.astype(np.float32), np.array(members["pivots"].tolist(), np.int64)
+        home = named[:, 0]
         links = np.zeros(len(members), np.int64)
         ends: list[np.ndarray] = [np.empty((0, 2), np.int64)]
-        if len(left) and len(right):
-            x, n = unit(members["embedding"]), members["n"].to_numpy(np.int64)
-            lists = [np.asarray(p, np.int64) for p in members["pivots"]]
-            # vectors of a dimension without pivots share the one number they have
-            a, b = _candidates(pivot, [lists[i] for i in left], [lists[i] for i in right], same, SHARED if pivot >= 0 else 1)
-            a, b = left[a], right[b]
-            for k in range(0, len(a), VERIFIED):
-                i, j = a[k : k + VERIFIED], b[k : k + VERIFIED]
-                hit = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
-                i, j = i[hit], j[hit]
-                np.add.at(links, i, n[j])
-                np.add.at(links, j, n[i])
-                ends.append(np.stack([i, j], axis=1))
+
+        def compare(left: np.ndarray, right: np.ndarray, same: bool) -> None:
+            cosines = short[left] @ short[right].T
+            hit = cosines >= threshold - UNSURE
+            if same:
+                hit = np.triu(hit, 1)
+            if not hit.any():
+                return
+
+            def drop(some: np.ndarray, wrong: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
+                a, b = np.nonzero(some)
+                for k in range(0, len(a), VERIFIED):
+                    i, j = a[k : k + VERIFIED], b[k : k + VERIFIED]
+                    out = wrong(left[i], right[j])
+                    hit[i[out], j[out]] = False
+
+            drop(hit & (cosines < threshold + UNSURE), lambda i, j: np.einsum("ij,ij->i", x[i], x[j]) < threshold)
+            at_home = home[left][:, None] == home[right]
+            hit &= ~at_home | (home[left] == pivot)[:, None]
+            drop(hit & ~at_home, lambda i, j: _met_before(pivot, named[i], named[j]))
+            links[left] += hit @ n[right]
+            links[right] += hit.T @ n[left]
+            i, j = _spanning(hit)
+            ends.append(np.stack([left[i], right[j]], axis=1))
+
+        homes, guests = np.unique(home[home != pivot], return_counts=True)
+        group = np.where(np.isin(home, homes[guests >= GUESTS]), home, pivot)
+        side = (members["block"] == one).to_numpy()
+        for a in np.unique(group):
+            for b in np.unique(group):
+                if (a == b and a != pivot) or (one == other and a > b):
+                    continue
+                left = np.flatnonzero(side & (group == a))
+                right = np.flatnonzero((side if one == other else ~side) & (group == b))
+                if len(left) and len(right):
+                    compare(left, right, one == other and a == b)
         found = np.concatenate(ends)
         root = min_labels(found[:, 0], found[:, 1], len(members))
         some = np.flatnonzero(links)
@@ -125,13 +143,45 @@ def _search(threshold: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     return search
 
 
-def fit_pivots(classes: DataFrame, number: int) -> dict[int, np.ndarray]:
-    """Reference points by dimension: the ``number`` vectors whose ids have the least hashes, so at most MOST_PIVOTS rows."""
+def thinned(points: np.ndarray, closest: float) -> np.ndarray:
+    """The points, in order, whose cosine to every one taken before is less than ``closest``."""
+    out, taken = np.empty_like(points), 0
+    for point in points:
+        if not taken or (out[:taken] @ point).max() < closest:
+            out[taken] = point
+            taken += 1
+    return out[:taken]
+
+
+def fit_pivots(classes: DataFrame, number: int, threshold: float = SIMILAR) -> dict[int, np.ndarray]:
+    """Reference points by dimension: the ``number`` vectors whose ids have the least hashes, so at most MOST_PIVOTS rows,
+    without those that are less than twice the angle of ``threshold`` from another one."""
     rows = classes.select("rep", "embedding").orderBy(F.xxhash64("rep"), "rep", "k1").limit(number).collect()
     by: dict[int, list] = {}
     for row in rows:
         by.setdefault(len(row["embedding"]), []).append(row["embedding"])
-    return {size: unit(vectors) for size, vectors in by.items()}
+    return {size: thinned(unit(vectors), 2 * threshold**2 - 1) for size, vectors in by.items()}
+
+
+def _blocks(listed: DataFrame) -> list[tuple]:
+    """``pivot, home, first, own, blocks`` of the lists of more than BLOCK vectors: the blocks of a home's vectors are the ``own``
+    ones from ``first`` on, of ``blocks`` in the list. A null home stands for all that have no blocks to themselves."""
+    sizes = cut(listed.groupBy("pivot", "home").count())
+    totals = sizes.groupBy("pivot").agg(F.sum("count").alias("count")).where(F.col("count") > BLOCK).collect()  # of MOST_PIVOTS pivots at most, and of dimensions without one
+    rest = {r["pivot"]: r["count"] for r in totals}
+    hot: dict[int, list] = {}
+    for r in sizes.where((F.col("count") > BLOCK) & (F.col("pivot") != F.col("home"))).orderBy("pivot", "home").collect():  # NEAREST / BLOCK of the vectors at most
+        hot.setdefault(r["pivot"], []).append((r["home"], -(-r["count"] // BLOCK)))
+        rest[r["pivot"]] -= r["count"]
+    out = []
+    for pivot, left in rest.items():
+        first = own = max(1, -(-left // BLOCK))
+        blocks = first + sum(k for _, k in hot.get(pivot, []))
+        out.append((pivot, None, 0, own, blocks))
+        for home, k in hot.get(pivot, []):
+            out.append((pivot, home, first, k, blocks))
+            first += k
+    return out
 
 
 def near_duplicate_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = SIMILAR) -> DataFrame:
@@ -155,22 +205,27 @@ def near_duplicate_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedd
     one = keyed.join(classes.withColumnRenamed("rep", "vec_id"), ["k1", "k2", "vec_id"]).withColumnRenamed("vec_id", "rep").dropDuplicates(["rep", "k1", "k2"])
     number = min(MOST_PIVOTS, max(FEWEST_PIVOTS, 1 << round(math.log2(2 * math.sqrt(max(1, classes.count()))))))
     one = cut(one.select("rep", "k1", "k2", "n", "embedding"))
-    pivots = fit_pivots(one, number)
+    pivots = fit_pivots(one, number, threshold)
 
     # the inverted lists
     kind = dict(one.dtypes)["embedding"]
     index = one.mapInPandas(_describe(pivots), f"rep long, k1 long, k2 long, n long, embedding {kind}, pivots array<int>")
     index = cut(index)
-    sizes = index.select(F.explode("pivots").alias("pivot")).groupBy("pivot").count().where(F.col("count") > BLOCK).collect()  # of MOST_PIVOTS pivots at most, and of dimensions without one
-    long_lists = {r["pivot"]: -(-r["count"] // BLOCK) for r in sizes}
-    listed = index.select("*", F.explode("pivots").alias("pivot"))
+    listed = index.select("*", F.explode("pivots").alias("pivot")).withColumn("home", F.get("pivots", F.lit(0)))
+    long_lists = _blocks(listed.select("pivot", "home"))
     if long_lists:
-        blocks = F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for kv in long_lists.items() for v in kv)), F.col("pivot")), F.lit(1))
-        listed = listed.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "k1"), F.col("blocks")).cast("int"))
-        listed = listed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        layout = spark.createDataFrame(long_lists, "pivot int, of int, first int, own int, blocks int")
+        common = layout.where(F.col("of").isNull()).select("pivot", F.struct("first", "own", "blocks").alias("common"))
+        hot = layout.where(F.col("of").isNotNull()).select("pivot", F.col("of").alias("home"), F.struct("first", "own", "blocks").alias("hot"))
+        listed = listed.join(F.broadcast(common), "pivot", "left").join(F.broadcast(hot), ["pivot", "home"], "left")
+        at = F.coalesce("hot", "common", F.struct(F.lit(0).alias("first"), F.lit(1).alias("own"), F.lit(1).alias("blocks")))
+        listed = listed.withColumn("at", at).withColumn("block", F.col("at.first") + F.pmod(F.xxhash64("rep", "k1"), F.col("at.own")).cast("int"))
+        # vectors of one hot home are compared in its own list
+        met = F.filter(F.sequence(F.lit(0), F.col("at.blocks") - 1), lambda k: F.col("hot").isNull() | (k < F.col("hot.first")) | (k >= F.col("hot.first") + F.col("hot.own")))
+        listed = listed.withColumn("with", F.explode(met)).drop("common", "hot", "at")
     else:
         listed = listed.withColumns({"block": F.lit(0), "with": F.lit(0)})
-    listed = listed.withColumns({"one": F.least("block", "with"), "other": F.greatest("block", "with")}).drop("blocks", "with")
+    listed = listed.withColumns({"one": F.least("block", "with"), "other": F.greatest("block", "with")}).drop("home", "with")
     found = cut(listed.groupBy("pivot", "one", "other").applyInPandas(_search(threshold), "rep long, k1 long, k2 long, links long, root long"))
 
     links = found.groupBy("k1", "k2").agg(F.sum("links").alias("links"))
