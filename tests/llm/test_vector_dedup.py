@@ -119,3 +119,14 @@ def test_a_hot_home_in_blocks(spark, monkeypatch):
     got = {r[0]: r[1] for r in found(spark, [(i, v) for i, v in enumerate(x.tolist())])}
     got = np.array([got[i] for i in range(len(x))])
     assert want.sum() > 10_000 and (got <= want).all() and got.sum() >= 0.99 * want.sum()
+
+
+def test_recall_of_planted_copies(spark):
+    rng = np.random.default_rng(6)
+    alone, centres = rng.normal(size=(5_000, 64)), np.repeat(rng.normal(size=(1_000, 64)), rng.integers(2, 8, 1_000), axis=0)
+    x = np.float32(np.concatenate([alone, centres + rng.normal(size=centres.shape) * 0.3])).astype(float)
+    want = pairs(x)
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["n_links"] for r in vector_dedup.near_duplicate_vectors(rows).collect()}
+    got = np.array([got[i] for i in range(len(x))])
+    assert want.sum() > 10_000 and (got <= want).all() and got.sum() >= 0.98 * want.sum()
