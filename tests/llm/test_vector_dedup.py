@@ -121,6 +121,20 @@ def test_a_hot_home_in_blocks(spark, monkeypatch):
     assert want.sum() > 10_000 and (got <= want).all() and got.sum() >= 0.99 * want.sum()
 
 
+def test_one_pivot_in_a_rare_dimension(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    common = [(i, v.tolist()) for i, v in enumerate(clustered(rng, 120))]
+    centre = rng.normal(size=10)
+    rare = [(1000 + i, (centre + rng.normal(size=10) * 0.1).tolist()) for i in range(12)]
+    rows = common + rare
+    one = lambda classes, number, *a: {24: vector_dedup.unit([v for _, v in common[:32]]), 10: vector_dedup.unit([rare[0][1]])}
+    monkeypatch.setattr(vector_dedup, "fit_pivots", one)
+    want = brute(rows)
+    assert sum(r[1] for r in want if r[0] >= 1000) > 100
+    got = found(spark, rows)
+    assert [r for r in got if r[0] >= 1000] == [r for r in want if r[0] >= 1000]
+
+
 def test_recall_of_planted_copies(spark):
     rng = np.random.default_rng(6)
     alone, centres = rng.normal(size=(5_000, 64)), np.repeat(rng.normal(size=(1_000, 64)), rng.integers(2, 8, 1_000), axis=0)
