@@ -32,6 +32,17 @@ def test_pairs_are_learned_that_no_sum_of_weights_can_tell():
     assert np.mean(right) > 0.95
 
 
+def test_pairs_are_learned_with_the_parameters_of_the_queries():
+    rng = np.random.default_rng(1)
+    insult, group = rng.random(3000) < 0.5, rng.random(3000) < 0.5
+    labels = (insult == group).astype(float)
+    rows = [np.unique(np.r_[100 + a, 200 + b, rng.integers(1000, 1040, 4)]) for a, b in zip(insult.astype(int), group.astype(int))]
+    model = fm.fit_rows(rows[:2500], labels[:2500], np.ones(2500))
+    assert model.features.tolist() == [100, 101, 200, 201]
+    right = [(model.raw(model.rows_of(r)[0]) > 0) == (y == 1) for r, y in zip(rows[2500:], labels[2500:])]
+    assert np.mean(right) > 0.95
+
+
 def test_features():
     assert fm.term_features("") == [] and len(fm.term_features("idiots")) == 4
     assert set(fm.term_features("idiots")) < set(fm.term_features("idiots!!"))

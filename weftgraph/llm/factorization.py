@@ -31,10 +31,14 @@ from weftgraph.llm.runtime import fresh, kept, read, ship, spread
 FIT_ROWS = 6_000
 #: Features of a model at most, those that tell the labels apart best: each is in FIT_LEAST documents of the fit at
 #: least, and by FIT_ASSOCIATION standard deviations more or less frequent with label 1. Words that tell nothing
-#: would only add noise, the more the longer a document is.
+#: would only add noise, the more the longer a document is. Features below that stay if they tell the labels apart
+#: together with another such feature, by FIT_TOGETHER standard deviations of the documents that have both; the
+#: PAIR_FEATURES most frequent ones are tried, all pairs of them.
 FIT_FEATURES = 1 << 15
 FIT_LEAST = 4
 FIT_ASSOCIATION = 4.0
+FIT_TOGETHER = 6.0
+PAIR_FEATURES = 4096
 #: Hashes are taken modulo this.
 BUCKETS = 1 << 24
 FACTORS = 8
@@ -191,16 +195,46 @@ def association(ones: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> np.
     return np.abs(gap) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n0 + 1 / n1))
 
 
+def telling_together(place: np.ndarray, ends: np.ndarray, labels: np.ndarray, tried: np.ndarray, number: int) -> np.ndarray:
+    """Those of the features ``tried`` that tell the labels apart by FIT_TOGETHER in a pair of them. ``place`` has each
+    document's features, of ``number``, up to its place in ``ends``."""
+    if not len(tried):
+        return tried
+    slot = np.full(number, -1)
+    slot[tried] = np.arange(len(tried))
+    both = np.zeros((2, len(tried), len(tried)), np.float32)
+    for label in (0, 1):
+        docs = np.flatnonzero(labels == label)
+        for k in range(0, len(docs), 1024):
+            x = np.zeros((len(docs[k : k + 1024]), len(tried)), np.float32)
+            for i, d in enumerate(docs[k : k + 1024]):
+                at = slot[place[ends[d - 1] if d else 0 : ends[d]]]
+                x[i, at[at >= 0]] = 1
+            both[label] += x.T @ x
+    tells = np.zeros(len(tried), bool)
+    for i in range(len(tried)):
+        ones, counts = both[1, i].astype(float), both[0, i].astype(float) + both[1, i]
+        away = association(ones, counts, labels)
+        away[i] = 0
+        tells[i] = ((counts >= FIT_LEAST) & (away >= FIT_TOGETHER)).any()
+    return tried[tells]
+
+
 def fit_rows(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed: int = 1) -> Model:
     """Fit by AdaGrad on the logistic loss; ``rows`` are hashed features, each once in a row."""
     every = np.concatenate(rows) if rows else np.empty(0, np.int64)
     found, place, counts = np.unique(every, return_inverse=True, return_counts=True)
     ones = np.bincount(place, weights=np.repeat(labels, [len(r) for r in rows]), minlength=len(found))
     away = association(ones, counts, labels)
-    most = np.argsort(-away, kind="stable")[:FIT_FEATURES]
-    features = np.sort(found[most[(counts[most] >= FIT_LEAST) & (away[most] >= FIT_ASSOCIATION)]])
+    ends = np.cumsum([len(r) for r in rows], dtype=np.int64)
+    # what is in fewer documents than this is not by FIT_TOGETHER more frequent with either label, in any pair
+    sides = sorted([labels.sum(), len(labels) - labels.sum()])
+    weak = np.flatnonzero((away < FIT_ASSOCIATION) & (counts >= max(FIT_LEAST, FIT_TOGETHER**2 * sides[0] / max(1.0, sides[1]))))
+    weak = weak[np.argsort(-counts[weak], kind="stable")[:PAIR_FEATURES]]
+    pairs = telling_together(place, ends, labels, weak, len(found))
+    most = np.argsort(-away, kind="stable")[: FIT_FEATURES - len(pairs)]
+    features = np.sort(found[np.union1d(most[(counts[most] >= FIT_LEAST) & (away[most] >= FIT_ASSOCIATION)], pairs)])
     del found, place
-    ends = np.cumsum([len(r) for r in rows])
     at = np.minimum(np.searchsorted(features, every), max(0, len(features) - 1))
     hit = features[at] == every if len(features) else np.zeros(len(every), bool)
     sizes = np.add.reduceat(hit, np.r_[0, ends[:-1]]) if len(every) else np.zeros(len(rows), int)
