@@ -5,9 +5,9 @@ import random
 import numpy as np
 import pytest
 
-from weftgraph.operators.contraction import components_of_split, split_high_degree
+from weftgraph.operators.contraction import component_labels_of_split, split_high_degree
 from weftgraph.operators.edges import degrees
-from weftgraph.plans.components import STRATEGIES, Graph, connected_components, symmetric
+from weftgraph.plans.connectivity import STRATEGIES, Graph, component_labels, symmetric
 from weftgraph.plans.unionfind import forest_edges, min_labels
 
 BIG = 1 << 61
@@ -44,7 +44,7 @@ def graph_of(spark, edges, vertices):
 
 
 def solve(graph, strategy, **conf):
-    return {r["v"]: r["label"] for r in connected_components(graph, strategy, **conf).collect()}
+    return {r["v"]: r["label"] for r in component_labels(graph, strategy, **conf).collect()}
 
 
 @pytest.mark.parametrize("name", GRAPHS)
@@ -80,10 +80,10 @@ def test_numpy_labels():
 
 
 @pytest.mark.parametrize("name", ["star", "bridge", "two"])
-def test_split_keeps_components(spark, name):
+def test_split_keeps_labels(spark, name):
     edges, vertices = GRAPHS[name]
     graph = graph_of(spark, edges, vertices)
     both = symmetric(graph.edges)
     split = split_high_degree(both, graph.vertices, degrees(both).where("degree >= 3"), 4)
-    assert {r["v"]: r["label"] for r in components_of_split(*split).collect()} == expected(edges, vertices)
+    assert {r["v"]: r["label"] for r in component_labels_of_split(*split).collect()} == expected(edges, vertices)
     assert split[0].where("salt > 0").count() > 0 or name == "two"

@@ -4,9 +4,9 @@ import numpy as np
 import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from test_components import expected
+from test_connectivity import expected
 
-from weftgraph.plans.components import Graph, connected_components, project_back, quotient_edges, symmetric, two_hop_min
+from weftgraph.plans.connectivity import Graph, component_labels, project_back, quotient_edges, symmetric, two_hop_min
 from weftgraph.plans.unionfind import forest_edges, forest_of_partition, label_all
 
 EDGES = st.lists(st.tuples(st.integers(-(2**62), 2**62) | st.integers(0, 9), st.integers(0, 9)), max_size=30)
@@ -17,7 +17,7 @@ def arrays(edges):
 
 
 @given(EDGES)
-def test_forests_keep_components(edges):
+def test_forests_keep_labels(edges):
     src, dst = forest_edges(*arrays(edges))
     vertices = {x for e in edges for x in e}
     assert expected(list(zip(src.tolist(), dst.tolist())), vertices) == expected(edges, vertices)
@@ -41,7 +41,7 @@ def test_contraction_and_renaming(spark, edges, random):
     both = symmetric(graph.edges)
     mapping = two_hop_min(both, graph.vertices, 1).select("v", "label").withColumnRenamed("label", "cv")
     quotient = quotient_edges(both, mapping)
-    labels = connected_components(Graph.of(quotient))
+    labels = component_labels(Graph.of(quotient))
     raw = {r["v"]: r["label"] for r in project_back(mapping, labels).collect()}
     want = expected(edges, [])
     assert len(set(raw.values())) == len(set(want.values()))
@@ -49,5 +49,5 @@ def test_contraction_and_renaming(spark, edges, random):
 
     names = random.sample(range(100, 200), 13)
     renamed = [(names[a], names[b]) for a, b in edges]
-    got = {r["v"]: r["label"] for r in connected_components(Graph.of(spark.createDataFrame(renamed, "src long, dst long"))).collect()}
+    got = {r["v"]: r["label"] for r in component_labels(Graph.of(spark.createDataFrame(renamed, "src long, dst long"))).collect()}
     assert got == expected(renamed, [])

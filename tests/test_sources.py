@@ -1,10 +1,10 @@
 """Readers on files as they are written by hand; generators' structure; the command line."""
 
 import pytest
-from test_components import expected
+from test_connectivity import expected
 
 from weftgraph import cli
-from weftgraph.plans.components import connected_components
+from weftgraph.plans.connectivity import component_labels
 from weftgraph.sources import generators
 from weftgraph.sources.readers import Source, load_graph, read_adjacency, read_adjacency_parts
 
@@ -31,7 +31,7 @@ def test_adjacency_comments_and_blank_lines(spark, tmp_path):
     text = "% first\n% second\n7 4\n3\n3\n% in between\n1 2\n5 6\n4\n4\n\n"
     graph = read_adjacency(spark, file(tmp_path, text))
     assert pairs(graph) == SIMPLE
-    assert {r["v"]: r["label"] for r in connected_components(graph).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3, 6: 6}
+    assert {r["v"]: r["label"] for r in component_labels(graph).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3, 6: 6}
 
 
 def test_adjacency_stops_at_what_is_no_number(spark, tmp_path):
@@ -105,5 +105,5 @@ def test_cli(spark, tmp_path, capsys):
     path = file(tmp_path, "6 5\n3\n3\n1 2\n5 6\n4\n4\n")
     seconds = cli.main(["-input", "file", "-path", path, "-verbose", "-i", "2", "-out", str(tmp_path / "labels")], spark)
     said = capsys.readouterr().out
-    assert len(seconds) == 2 and "components=2" in said and "size=3 (num=2)" in said
+    assert len(seconds) == 2 and "nontrivial=2" in said and "size=3 (num=2)" in said
     assert spark.read.parquet(str(tmp_path / "labels")).count() == 6

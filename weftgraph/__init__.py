@@ -1 +1 @@
-"""Connected components and the graph dataflow around them, as Spark DataFrames."""
+"""Connected sets and the graph dataflow around them, as Spark DataFrames."""

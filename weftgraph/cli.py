@@ -13,8 +13,8 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.operators.labels import num_components, size_histogram
-from weftgraph.plans.components import STRATEGIES, connected_components
+from weftgraph.operators.labels import component_count, size_histogram
+from weftgraph.plans.connectivity import STRATEGIES, component_labels
 from weftgraph.sources.readers import Source, load_graph
 
 
@@ -61,13 +61,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     for run in range(args.i):
         graph = load_graph(spark, source_of(args, args.seed + run + (1000 if args.gen else 0)))
         began = time.perf_counter()
-        labels = connected_components(graph, args.strategy, **conf)
+        labels = component_labels(graph, args.strategy, **conf)
         if args.out and run == 0:
             labels.write.mode("overwrite").parquet(args.out)
             labels = spark.read.parquet(args.out)
-        counts = num_components(labels).first()
+        counts = component_count(labels).first()
         seconds.append(time.perf_counter() - began)
-        print(f"run={run} components={counts['num_nontrivial']} with_single={counts['num_all']} seconds={seconds[-1]:.3f}")
+        print(f"run={run} nontrivial={counts['num_nontrivial']} with_single={counts['num_all']} seconds={seconds[-1]:.3f}")
         if args.verbose:
             for row in size_histogram(labels).orderBy(F.col("size")).toLocalIterator():
                 print(f"size={row['size']} (num={row['num']})")

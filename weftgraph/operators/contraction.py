@@ -1,4 +1,4 @@
-"""Operators that contract a graph by the components its parts see, and that undo contractions."""
+"""Operators that contract a graph by the connected sets its parts see, and that undo contractions."""
 
 from __future__ import annotations
 
@@ -7,13 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.partitions import Part, cut_edges, ghosts, interface, local_components
-from weftgraph.plans.components import Graph, connected_components, default, project_back, quotient_edges
+from weftgraph.operators.partitions import Part, cut_edges, ghosts, interface, local_component_labels
+from weftgraph.plans.connectivity import Graph, component_labels, default, project_back, quotient_edges
 from weftgraph.plans.lineage import cut
 
 
 def component_graph(both: DataFrame, local: DataFrame) -> DataFrame:
-    """The quotient by the parts' components (``pe, v, label``): edges between different ones, each ordered pair once."""
+    """The quotient by the parts' connected sets (``pe, v, label``): edges between different ones, each ordered pair once."""
     return quotient_edges(both, local.select("v", F.col("label").alias("cv")))
 
 
@@ -24,12 +24,12 @@ def local_contraction_graph(both: DataFrame, local: DataFrame, part: Part) -> Da
     return quotient_edges(both, mapping)
 
 
-def components_by_parts(both: DataFrame, vertices: DataFrame, part: Part, mode: str = "single") -> DataFrame:
-    """``v, label`` by what the parts see first: their components are contracted (``single``), twice (``twice``), or only
+def component_labels_by_parts(both: DataFrame, vertices: DataFrame, part: Part, mode: str = "single") -> DataFrame:
+    """``v, label`` by what the parts see first: their connected sets are contracted (``single``), twice (``twice``), or only
     their vertices without cut edges are (``local``); what is left is solved by the default strategy and projected back."""
     mappings: list[DataFrame] = []
     for _ in range(2 if mode == "twice" else 1):
-        local = cut(local_components(both, vertices, part))
+        local = cut(local_component_labels(both, vertices, part))
         if mode == "local":
             on_edge = interface(both, part).select(F.col("v").alias("on_edge"))
             mapping = local.join(on_edge, F.col("v") == F.col("on_edge"), "left").select("v", F.coalesce("on_edge", "label").alias("cv"))
@@ -44,7 +44,7 @@ def components_by_parts(both: DataFrame, vertices: DataFrame, part: Part, mode:
     return labels
 
 
-def ghost_components(both: DataFrame, local: DataFrame, part: Part) -> DataFrame:
+def ghost_component_labels(both: DataFrame, local: DataFrame, part: Part) -> DataFrame:
     """``pe, v, cv``: the component, at its owner, of each part's ghosts."""
     owned = local.select(F.col("v").alias("at"), F.col("label").alias("cv"))
     return ghosts(both, part).join(owned, F.col("v") == F.col("at")).select("pe", "v", "cv")
@@ -73,7 +73,7 @@ def split_high_degree(both: DataFrame, vertices: DataFrame, heavy: DataFrame, mo
 
     A heavy vertex has min(most, sqrt(degree)) proxies, salts from 1; a hash of an edge chooses the proxy at either end, and
     each proxy is linked to salt 0, the vertex. ``vertices`` come back with their salts, edges as ``src, src_salt, dst,
-    dst_salt``. Components stay what they were.
+    dst_salt``. Connected sets stay what they were.
     """
     proxies = heavy.select("v", F.least(F.lit(most), F.floor(F.sqrt(F.col("degree").cast("double")))).cast("int").alias("k")).where(F.col("k") > 0)
 
@@ -90,12 +90,12 @@ def split_high_degree(both: DataFrame, vertices: DataFrame, heavy: DataFrame, mo
     return vertices.select("v", zero.alias("salt")).unionByName(every), moved.unionByName(links).unionByName(back)
 
 
-def components_of_split(split_vertices: DataFrame, split_edges: DataFrame, strategy: str = "default") -> DataFrame:
+def component_labels_of_split(split_vertices: DataFrame, split_edges: DataFrame, strategy: str = "default") -> DataFrame:
     """``v, label`` of the vertices themselves, solved on the split graph; salted vertices are named by a hash."""
     node = lambda v, salt: F.xxhash64(v, salt)
     named = split_vertices.withColumn("node", node("v", "salt"))
     edges = split_edges.select(node("src", "src_salt").alias("src"), node("dst", "dst_salt").alias("dst"))
-    labels = connected_components(Graph(edges, named.select(F.col("node").alias("v"))), strategy)
+    labels = component_labels(Graph(edges, named.select(F.col("node").alias("v"))), strategy)
     raw = named.where(F.col("salt") == 0).join(labels.select(F.col("v").alias("node"), F.col("label").alias("raw")), "node")
     least = raw.groupBy("raw").agg(F.min("v").alias("label"))
     return raw.join(least, "raw").select("v", "label")

@@ -11,12 +11,12 @@ def component_sizes(labels: DataFrame) -> DataFrame:
 
 
 def size_histogram(labels: DataFrame) -> DataFrame:
-    """``size, num``: how many components have each size."""
+    """``size, num``: how many connected sets have each size."""
     return component_sizes(labels).groupBy("size").agg(F.count(F.lit(1)).alias("num"))
 
 
-def num_components(labels: DataFrame) -> DataFrame:
-    """One row: components of more than one vertex, and all."""
+def component_count(labels: DataFrame) -> DataFrame:
+    """One row: connected sets of more than one vertex, and all."""
     return component_sizes(labels).agg(F.count_if(F.col("size") > 1).alias("num_nontrivial"), F.count(F.lit(1)).alias("num_all"))
 
 
@@ -53,11 +53,11 @@ def dense_labels(labels: DataFrame) -> DataFrame:
 
 
 def component_prefix_sum(local: DataFrame) -> DataFrame:
-    """``pe, components, offset, total``: components of each part (``pe, label``), those before it, and all. One row a part."""
-    counts = local.select("pe", "label").distinct().groupBy("pe").agg(F.count(F.lit(1)).alias("components"))
+    """``pe, n_labels, offset, total``: labels of each part (``pe, label``), those before it, and all. One row a part."""
+    counts = local.select("pe", "label").distinct().groupBy("pe").agg(F.count(F.lit(1)).alias("n_labels"))
     before = Window.orderBy("pe").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy("pe").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return counts.select("pe", "components", F.coalesce(F.sum("components").over(before), F.lit(0)).alias("offset"), F.sum("components").over(every).alias("total"))
+    return counts.select("pe", "n_labels", F.coalesce(F.sum("n_labels").over(before), F.lit(0)).alias("offset"), F.sum("n_labels").over(every).alias("total"))
 
 
 def cluster_parents(state: DataFrame, both: DataFrame, starts: DataFrame) -> DataFrame:

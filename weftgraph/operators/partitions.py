@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.plans.components import default
+from weftgraph.plans.connectivity import default
 
 Part = Callable[[Column], Column]
 
@@ -93,8 +93,8 @@ def part_ranges(both: DataFrame, part: Part) -> DataFrame:
     return per.groupBy("pe").agg(first.alias("f"), F.max("src").alias("last_v")).select("pe", F.col("f.src").alias("first_v"), "last_v", F.col("f.low").alias("first_dst"), F.col("f.high").alias("last_dst"))
 
 
-def local_components(both: DataFrame, vertices: DataFrame, part: Part) -> DataFrame:
-    """``pe, v, label``: components of what each part sees, its vertices and its ghosts; so two of its vertices that share a
+def local_component_labels(both: DataFrame, vertices: DataFrame, part: Part) -> DataFrame:
+    """``pe, v, label``: connected sets of what each part sees, its vertices and its ghosts; so two of its vertices that share a
     ghost are together. The label is the least of the part's own vertices.
 
     Solved as one graph whose vertices are (part, vertex); those pairs are named by a hash, since ids may be large.

@@ -1,250 +1,4 @@
-"""Connected components of an undirected graph: several strategies with one result.
+"""The former name of :mod:`weftgraph.plans.connectivity`."""
 
-Every strategy returns ``v, label``, one row for each vertex, where the label is the least vertex of the component; a
-vertex without edges is its own label. ``edges`` has ``src, dst`` in either direction, with loops and repeats allowed.
-
-The default strategy first replaces each partition's edges by a spanning forest. Up to ``base`` edges are then solved in
-one task on an executor; more are contracted, cluster by cluster, in distributed rounds until they are few enough.
-Nothing is collected to the driver but counts.
-"""
-
-from __future__ import annotations
-
-from collections.abc import Callable
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from weftgraph.functions.random import start_time, uniform_below
-from weftgraph.plans.lineage import cut, ship
-from weftgraph.plans.unionfind import forest_of_partition, label_all
-
-#: Edges that one task solves: about 100 MB in numpy.
-BASE_EDGES = 500_000
-EDGE = "src long, dst long"
-LABEL = "v long, label long"
-
-
-def symmetric(edges: DataFrame) -> DataFrame:
-    """Both directions of every edge."""
-    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-
-
-def endpoints(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src").alias("v")).union(edges.select("dst")).distinct()
-
-
-def cover(labels: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Labels for all vertices: those without one are their own."""
-    known = labels.select(F.col("v").alias("known"), "label")
-    return vertices.select("v").distinct().join(known, F.col("v") == F.col("known"), "left").select("v", F.coalesce("label", "v").alias("label"))
-
-
-def local_forest(edges: DataFrame) -> DataFrame:
-    """Fewer edges with the same components: the forest of each partition. Loops are dropped."""
-    ship(edges.sparkSession)
-    return edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).mapInPandas(forest_of_partition, EDGE)
-
-
-def in_one_task(edges: DataFrame) -> DataFrame:
-    """Labels of the edges' vertices, solved by one task on an executor."""
-    ship(edges.sparkSession)
-    return edges.select("src", "dst").repartition(1).mapInPandas(label_all, LABEL)
-
-
-def sequential(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """All edges gathered in one task. For graphs that fit there."""
-    return cover(in_one_task(edges), vertices)
-
-
-def canonical(raw: DataFrame) -> DataFrame:
-    """``v, label`` with any labels: each replaced by the least vertex that bears it."""
-    least = raw.groupBy(F.col("label").alias("raw")).agg(F.min("v").alias("least"))
-    return raw.join(least, F.col("label") == F.col("raw")).select("v", F.col("least").alias("label"))
-
-
-# --- label propagation ---------------------------------------------------------------------------------------------
-
-
-def min_label_step(state: DataFrame, both: DataFrame) -> DataFrame:
-    """Each vertex takes the least label among its own and its neighbours'; ``both`` are symmetric edges."""
-    heard = both.join(state, both["src"] == state["v"]).groupBy("dst").agg(F.min("label").alias("heard"))
-    return state.join(heard, state["v"] == heard["dst"], "left").select("v", F.least("label", F.coalesce("heard", "label")).alias("label"))
-
-
-def pointer_jump_step(state: DataFrame) -> DataFrame:
-    """Each vertex takes the label of its label."""
-    root = state.select(F.col("v").alias("at"), F.col("label").alias("root"))
-    return state.join(root, state["label"] == root["at"], "left").select("v", F.least("label", F.coalesce("root", "label")).alias("label"))
-
-
-def push_to_old_root(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Where a vertex has left its label, the vertex of that label hears of the new one."""
-    old = before.select("v", F.col("label").alias("old"))
-    pushed = after.join(old, "v").where(F.col("label") < F.col("old")).groupBy(F.col("old").alias("at")).agg(F.min("label").alias("pushed"))
-    return after.join(pushed, after["v"] == pushed["at"], "left").select("v", F.least("label", F.coalesce("pushed", "label")).alias("label"))
-
-
-def _until_still(state: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    while True:
-        old = state.select("v", F.col("label").alias("old"))
-        state = cut(step(state))
-        if state.join(old, "v").where(F.col("label") != F.col("old")).isEmpty():
-            return state
-
-
-def label_propagation(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """The least label spreads by one edge a round; as many rounds as the longest shortest path."""
-    both = cut(symmetric(edges).distinct())
-    start = endpoints(edges).select("v", F.col("v").alias("label"))
-    return cover(_until_still(start, lambda s: min_label_step(s, both)), vertices)
-
-
-def shortcut_propagation(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """As before, but every round also jumps to the label's label and tells the label that was left; O(log n) rounds on paths."""
-    both = cut(symmetric(edges).distinct())
-    start = endpoints(edges).select("v", F.col("v").alias("label"))
-
-    def step(state: DataFrame) -> DataFrame:
-        heard = min_label_step(state, both)
-        return pointer_jump_step(push_to_old_root(state, heard))
-
-    return cover(_until_still(start, step), vertices)
-
-
-# --- contraction ---------------------------------------------------------------------------------------------------
-
-
-def quotient_edges(edges: DataFrame, mapping: DataFrame) -> DataFrame:
-    """The edges between different clusters, each ordered pair once. ``mapping`` is ``v, cv``; unmapped ends stay."""
-    a = mapping.select(F.col("v").alias("a"), F.col("cv").alias("ca"))
-    b = mapping.select(F.col("v").alias("b"), F.col("cv").alias("cb"))
-    moved = edges.join(a, edges["src"] == F.col("a"), "left").join(b, F.col("dst") == F.col("b"), "left")
-    moved = moved.select(F.coalesce("ca", "src").alias("src"), F.coalesce("cb", "dst").alias("dst"))
-    return moved.where(F.col("src") != F.col("dst")).distinct()
-
-
-def project_back(mapping: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labels of a quotient graph's vertices, given to the vertices that were mapped to them."""
-    known = labels.select(F.col("v").alias("known"), "label")
-    return mapping.join(known, mapping["cv"] == F.col("known"), "left").select("v", F.coalesce("label", "cv").alias("label"))
-
-
-def _payload(deviate: Column | str, label: Column | str) -> Column:
-    return F.struct(F.col(deviate).alias("deviate") if isinstance(deviate, str) else deviate.alias("deviate"), F.col(label).alias("label") if isinstance(label, str) else label.alias("label"))
-
-
-def shift_step(state: DataFrame, both: DataFrame, cost: int = 1) -> DataFrame:
-    """Each vertex takes the least of its own (deviate, label) and its neighbours' (deviate + cost, label)."""
-    heard = both.join(state, both["src"] == state["v"]).groupBy("dst").agg(F.min(_payload(F.col("deviate") + cost, "label")).alias("heard"))
-    both_known = state.join(heard, state["v"] == heard["dst"], "left")
-    own = _payload("deviate", "label")
-    return both_known.select("v", F.least(own, F.coalesce("heard", own)).alias("best")).select("v", "best.deviate", "best.label")
-
-
-def exponential_clusters(both: DataFrame, vertices: DataFrame, beta: float, seed: int, n: int, iteration: int = 0) -> DataFrame:
-    """``v, deviate, label``: clusters of random starting times, relaxed until nothing changes."""
-    state = cut(vertices.select("v", start_time(F.col("v"), beta, seed, n, iteration).alias("deviate"), F.col("v").alias("label")))
-    while True:
-        old = state.select("v", F.col("deviate").alias("old_deviate"), F.col("label").alias("old_label"))
-        state = cut(shift_step(state, both))
-        changed = state.join(old, "v").where((F.col("deviate") != F.col("old_deviate")) | (F.col("label") != F.col("old_label")))
-        if changed.isEmpty():
-            return state
-
-
-def exponential_clusters_by_rounds(both: DataFrame, vertices: DataFrame, beta: float, seed: int, n: int, iteration: int = 0) -> DataFrame:
-    """``v, deviate, label``: the same clusters grown in time steps. In step t those that start at t and are free wake,
-    and what woke or was reached one step before reaches its free neighbours; the least label wins."""
-    start = cut(vertices.select("v", start_time(F.col("v"), beta, seed, n, iteration).alias("start")))
-    last = start.agg(F.max("start")).first()[0]
-    reached = start.where(F.lit(False)).select("v", F.col("start").alias("deviate"), F.col("v").alias("label"))
-    t = 0
-    while last is not None and t <= last:
-        front = reached.where(F.col("deviate") == t - 1)
-        spread = both.join(front, both["src"] == front["v"]).select(F.col("dst").alias("v"), "label")
-        woken = start.where(F.col("start") == t).select("v", F.col("v").alias("label"))
-        arrived = spread.unionByName(woken).join(reached.select("v"), "v", "left_anti").groupBy("v").agg(F.min("label").alias("label"))
-        reached = cut(reached.unionByName(arrived.select("v", F.lit(t).cast("long").alias("deviate"), "label")))
-        t += 1
-        if reached.count() == start.count():
-            break
-    return reached
-
-
-def two_hop_min(both: DataFrame, vertices: DataFrame, seed: int, iteration: int = 0) -> DataFrame:
-    """``v, deviate, label``: every vertex takes the least (random deviate below 100, label) within two edges."""
-    state = vertices.select("v", uniform_below(F.col("v"), 100, seed, iteration).alias("deviate"), F.col("v").alias("label"))
-    return shift_step(shift_step(state, both, cost=0), both, cost=0)
-
-
-def contraction(edges: DataFrame, vertices: DataFrame, clusters: Callable[[DataFrame, DataFrame, int], DataFrame], base: int) -> DataFrame:
-    """Cluster, contract, and again, until ``base`` directed edges are left; those are solved in one task.
-
-    Each level's ``v, cv`` names a cluster by its least vertex, so that no last step has to rename components.
-    """
-    levels: list[DataFrame] = []
-    both = cut(symmetric(edges).where(F.col("src") != F.col("dst")).distinct())
-    while (left := both.count()) > base:
-        active = both.select(F.col("src").alias("v")).distinct()
-        found = clusters(both, active, len(levels)).select("v", "label")
-        mapping = cut(canonical(found).select("v", F.col("label").alias("cv")))
-        levels.append(mapping)
-        both = cut(quotient_edges(both, mapping))
-        if len(levels) > 60 and both.count() >= left:
-            raise RuntimeError("the graph does not shrink")
-    labels = in_one_task(both)
-    for mapping in reversed(levels):
-        labels = project_back(mapping, labels)
-    return cover(labels, vertices)
-
-
-def exponential(edges: DataFrame, vertices: DataFrame, beta: float = 0.1, seed: int = 1, base: int = BASE_EDGES, by_rounds: bool = False) -> DataFrame:
-    """Contraction of exponentially shifted clusters."""
-    grow = exponential_clusters_by_rounds if by_rounds else exponential_clusters
-    return contraction(edges, vertices, lambda both, active, k: grow(both, active, beta, seed, active.count(), k), base)
-
-
-def local_contraction(edges: DataFrame, vertices: DataFrame, seed: int = 1, base: int = BASE_EDGES) -> DataFrame:
-    """Contraction of two-hop clusters. Cheap rounds, which shrink a graph by a constant factor at least in expectation."""
-    return contraction(edges, vertices, lambda both, active, k: two_hop_min(both, active, seed, k), base)
-
-
-def default(edges: DataFrame, vertices: DataFrame, base: int = BASE_EDGES) -> DataFrame:
-    """Local forests, then one task for a small rest or distributed contraction of a large one."""
-    forest = cut(local_forest(edges))
-    if forest.count() <= base:
-        return cover(in_one_task(forest), vertices)
-    return local_contraction(forest, vertices, base=base)
-
-
-STRATEGIES: dict[str, Callable[..., DataFrame]] = {
-    "default": default,
-    "sequential": sequential,
-    "label_propagation": label_propagation,
-    "shortcut": shortcut_propagation,
-    "exponential": exponential,
-    "exponential_bfs": lambda edges, vertices, **conf: exponential(edges, vertices, by_rounds=True, **conf),
-    "local_contraction": local_contraction,
-}
-
-
-@dataclass(frozen=True)
-class Graph:
-    """An undirected graph: ``edges`` with ``src, dst`` and ``vertices`` with ``v``, which may stand in no edge."""
-
-    edges: DataFrame
-    vertices: DataFrame
-
-    @staticmethod
-    def of(edges: DataFrame, vertices: DataFrame | None = None) -> Graph:
-        """Rows with a null end are no edges and are dropped; without vertices, the edges' ends are meant."""
-        edges = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src is not null and dst is not null")
-        ends = endpoints(edges)
-        return Graph(edges, ends if vertices is None else vertices.select(F.col("v").cast("long").alias("v")).where("v is not null").union(ends).distinct())
-
-
-def connected_components(graph: Graph, strategy: str = "default", **conf) -> DataFrame:
-    """``v, label`` by the strategy of that name."""
-    return STRATEGIES[strategy](graph.edges, graph.vertices, **conf)
+from weftgraph.plans.connectivity import *  # noqa: F403
+from weftgraph.plans.connectivity import component_labels as connected_components  # noqa: F401

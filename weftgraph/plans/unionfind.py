@@ -1,4 +1,4 @@
-"""Components and spanning forests of edges that fit in one task, with numpy."""
+"""Connected sets and spanning forests of edges that fit in one task, with numpy."""
 
 from __future__ import annotations
 

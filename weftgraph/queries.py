@@ -18,8 +18,8 @@ from weftgraph.operators import contraction as C
 from weftgraph.operators import edges as E
 from weftgraph.operators import labels as L
 from weftgraph.operators import partitions as P
-from weftgraph.plans import components as K
-from weftgraph.plans.components import Graph, connected_components, symmetric
+from weftgraph.plans import connectivity as K
+from weftgraph.plans.connectivity import Graph, component_labels, symmetric
 from weftgraph.sources import generators, readers, writers
 
 PARTS = 4
@@ -101,7 +101,7 @@ def _state(graph: Graph) -> DataFrame:
 
 
 def _local(graph: Graph) -> DataFrame:
-    return P.local_components(_both(graph), graph.vertices, PART)
+    return P.local_component_labels(_both(graph), graph.vertices, PART)
 
 
 def _starts(graph: Graph, n: int) -> DataFrame:
@@ -132,7 +132,7 @@ def _split(spark: SparkSession, d: str) -> DataFrame:
     graph = customers(spark, d)
     both = _both(graph)
     heavy = E.high_degree(both, graph.vertices, 0.05)
-    return C.components_of_split(*C.split_high_degree(both, graph.vertices, heavy, PARTS - 1))
+    return C.component_labels_of_split(*C.split_high_degree(both, graph.vertices, heavy, PARTS - 1))
 
 
 def _files(kind: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -168,13 +168,13 @@ def _of(graph: Callable[[SparkSession, str], Graph], op: Callable[[Graph], DataF
 
 
 def _cc(graph: Callable[[SparkSession, str], Graph], strategy: str, **conf) -> Query:
-    return lambda spark, d: connected_components(graph(spark, d), strategy, **conf)
+    return lambda spark, d: component_labels(graph(spark, d), strategy, **conf)
 
 
 def queries() -> dict[str, Query]:
-    labels = lambda g: connected_components(g)
+    labels = lambda g: component_labels(g)
     return {
-        # components
+        # connected sets
         "cc_default": _cc(parts, "default"),
         "cc_sequential": _cc(customers, "sequential"),
         "cc_label_propagation": _cc(turns, "label_propagation"),
@@ -182,12 +182,12 @@ def queries() -> dict[str, Query]:
         "cc_exponential": _cc(customers, "exponential", base=1000),
         "cc_exponential_bfs": _cc(customers, "exponential_bfs", base=1000),
         "cc_local_contraction": _cc(parts, "local_contraction", base=1000),
-        "cc_parts_single": _of(customers, lambda g: C.components_by_parts(_both(g), g.vertices, PART)),
-        "cc_parts_twice": _of(customers, lambda g: C.components_by_parts(_both(g), g.vertices, PART, "twice")),
-        "cc_parts_local": _of(turns, lambda g: C.components_by_parts(_both(g), g.vertices, PART, "local")),
+        "cc_parts_single": _of(customers, lambda g: C.component_labels_by_parts(_both(g), g.vertices, PART)),
+        "cc_parts_twice": _of(customers, lambda g: C.component_labels_by_parts(_both(g), g.vertices, PART, "twice")),
+        "cc_parts_local": _of(turns, lambda g: C.component_labels_by_parts(_both(g), g.vertices, PART, "local")),
         "component_sizes": _of(copies, lambda g: L.component_sizes(labels(g))),
         "component_size_histogram": _of(copies, lambda g: L.size_histogram(labels(g))),
-        "num_components": _of(copies, lambda g: L.num_components(labels(g))),
+        "component_count": _of(copies, lambda g: L.component_count(labels(g))),
         "same_component": lambda s, d: L.same_component(_asked(s, d), labels(parts(s, d))),
         "heavy_hitters": _of(customers, lambda g: L.heavy_hitters(labels(g), 1000)),
         "top_k_labels": _of(customers, lambda g: L.top_labels(labels(g), 10)),
@@ -222,11 +222,11 @@ def queries() -> dict[str, Query]:
         "avg_max_degree": _of(parts, lambda g: P.mean_max_degree(_both(g), g.vertices, PART, PARTS)),
         "partition_ranges": _of(parts, lambda g: P.part_ranges(_both(g), PART)),
         "comm_volume": _of(parts, lambda g: P.message_volume(_both(g), PART)),
-        "local_components": _of(customers, _local),
+        "local_component_labels": _of(customers, _local),
         "component_prefix_sum": _of(customers, lambda g: L.component_prefix_sum(_local(g))),
         "cag": _of(customers, lambda g: C.component_graph(_both(g), _local(g))),
         "local_contraction_graph": _of(customers, lambda g: C.local_contraction_graph(_both(g), _local(g), PART)),
-        "ghost_component_map": _of(customers, lambda g: C.ghost_components(_both(g), _local(g), PART)),
+        "ghost_component_map": _of(customers, lambda g: C.ghost_component_labels(_both(g), _local(g), PART)),
         "largest_interface_component": _of(customers, lambda g: C.largest_interface_component(_both(g), _local(g), PART)),
         # steps of algorithms
         "min_label_step": _of(parts, lambda g: K.min_label_step(_state(g), _both(g))),
@@ -238,7 +238,7 @@ def queries() -> dict[str, Query]:
         "label_shortcuts": lambda s, d: (lambda g, both, state, n: L.label_shortcuts(state, L.cluster_parents(state, both, _starts(g, n)), PART))(*_clusters(s, d)),
         "two_hop_min": _of(customers, lambda g: K.two_hop_min(_both(g), g.vertices, SEED)),
         "quotient_edges": _of(parts, lambda g: K.quotient_edges(_both(g), _min_mapping(_both(g), g.vertices))),
-        "project_back": _of(copies, lambda g: K.project_back(_min_mapping(_both(g), g.vertices), connected_components(g))),
+        "project_back": _of(copies, lambda g: K.project_back(_min_mapping(_both(g), g.vertices), component_labels(g))),
         "undo_mapping": _undo,
         "split_high_degree": _split,
         "run_statistics": lambda s, d: L.run_statistics(_read(s, d, "events", "event_type", "value"), "event_type", "value"),
@@ -337,7 +337,7 @@ def oracle_sql() -> dict[str, str]:
         "cc_parts_local": cc("turns", labels),
         "component_sizes": cc("copies", "SELECT label, count(*) AS size FROM cc GROUP BY label"),
         "component_size_histogram": cc("copies", "SELECT size, count(*) AS num FROM (SELECT count(*) AS size FROM cc GROUP BY label) GROUP BY size"),
-        "num_components": cc("copies", "SELECT count(*) FILTER (WHERE size>1) AS num_nontrivial, count(*) AS num_all FROM (SELECT count(*) AS size FROM cc GROUP BY label)"),
+        "component_count": cc("copies", "SELECT count(*) FILTER (WHERE size>1) AS num_nontrivial, count(*) AS num_all FROM (SELECT count(*) AS size FROM cc GROUP BY label)"),
         "same_component": cc("parts", f"SELECT a, p.b AS b, coalesce(x.label=y.label,false) AS same FROM ({asked}) p LEFT JOIN cc x ON x.v=p.a LEFT JOIN cc y ON y.v=p.b"),
         "heavy_hitters": cc("customers", "SELECT label, count(*) AS cnt FROM cc GROUP BY label HAVING count(*)*1000 > (SELECT count(*) FROM cc)"),
         "top_k_labels": cc("customers", "SELECT label, count(*) AS cnt FROM cc GROUP BY label ORDER BY cnt DESC, label LIMIT 10"),
@@ -372,9 +372,9 @@ def oracle_sql() -> dict[str, str]:
         "partition_ranges": _sql("parts", f"""SELECT f.pe, f.a AS first_v, f.z AS last_v, min(b.dst) AS first_dst, max(b.dst) AS last_dst
   FROM (SELECT {_PE('src')} AS pe, min(src) AS a, max(src) AS z FROM b GROUP BY 1) f JOIN b ON b.src=f.a GROUP BY f.pe, f.a, f.z"""),
         "comm_volume": _sql("parts", f"SELECT pe, other, count(*) AS messages FROM (SELECT DISTINCT {_PE('src')} AS pe, {_PE('dst')} AS other, src FROM b WHERE {cut}) GROUP BY pe, other"),
-        "local_components": local("customers", "SELECT pe, v, label FROM loc"),
-        "component_prefix_sum": local("customers", """SELECT pe, components, CAST(coalesce(sum(components) OVER (ORDER BY pe ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS BIGINT) AS "offset", CAST(sum(components) OVER () AS BIGINT) AS total
-  FROM (SELECT pe, count(DISTINCT label) AS components FROM loc GROUP BY pe)"""),
+        "local_component_labels": local("customers", "SELECT pe, v, label FROM loc"),
+        "component_prefix_sum": local("customers", """SELECT pe, n_labels, CAST(coalesce(sum(n_labels) OVER (ORDER BY pe ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS BIGINT) AS "offset", CAST(sum(n_labels) OVER () AS BIGINT) AS total
+  FROM (SELECT pe, count(DISTINCT label) AS n_labels FROM loc GROUP BY pe)"""),
         "cag": local("customers", "SELECT DISTINCT x.label AS src, y.label AS dst FROM b JOIN loc x ON b.src=x.v JOIN loc y ON b.dst=y.v WHERE x.label<>y.label"),
         "local_contraction_graph": local("customers", "SELECT DISTINCT x.cv AS src, y.cv AS dst FROM b JOIN cm x ON b.src=x.v JOIN cm y ON b.dst=y.v WHERE x.cv<>y.cv", f"cm AS (SELECT v, CASE WHEN v IN (SELECT src FROM b WHERE {cut}) THEN v ELSE label END AS cv FROM loc)"),
         "ghost_component_map": local("customers", f"SELECT DISTINCT {_PE('b.src')} AS pe, b.dst AS v, loc.label AS cv FROM b JOIN loc ON loc.v=b.dst WHERE {cut}"),

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.random import MODULUS, hashed
-from weftgraph.plans.components import Graph, symmetric
+from weftgraph.plans.connectivity import Graph, symmetric
 from weftgraph.plans.lineage import ship
 
 

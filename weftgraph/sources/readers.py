@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.plans.components import Graph, symmetric
+from weftgraph.plans.connectivity import Graph, symmetric
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:

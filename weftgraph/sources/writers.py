@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.plans.components import Graph
+from weftgraph.plans.connectivity import Graph
 
 
 def _lines(rows: DataFrame, path: str) -> None:
