@@ -9,7 +9,7 @@ COORDINATES * ln COORDINATES hits in a document are thrown, whatever its length;
 twice that rank is used.
 
 Equal word sequences are one text from the start. Texts that share a band are not all paired: a band's first text is
-verified against the others, the links give components, and where a band has texts of several components left, those
+verified against the others, the links give connected sets, and where a band has texts of several connected sets left, those
 outside the largest are compared with all, in blocks. So no link between texts that share a band is lost.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.runtime import cut, fresh, kept, read, ship, spread
-from weftgraph.plans.components import Graph, connected_components
+from weftgraph.plans.connectivity import Graph, component_labels
 from weftgraph.plans.unionfind import forest_edges
 
 SHINGLE = 5
@@ -290,7 +290,7 @@ def _within_bands(apart: DataFrame, docs: DataFrame, threshold: float) -> DataFr
 
 def _labelled(links: DataFrame) -> DataFrame:
     edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    return connected_components(Graph.of(edges))
+    return component_labels(Graph.of(edges))
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = SIMILAR) -> DataFrame:

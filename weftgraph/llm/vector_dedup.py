@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.runtime import cut, read, ship
-from weftgraph.plans.components import Graph, connected_components
+from weftgraph.plans.connectivity import Graph, component_labels
 from weftgraph.plans.unionfind import min_labels
 
 SIMILAR = 0.9
@@ -188,7 +188,7 @@ def near_duplicate_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedd
     """One row per row of ``vectors``: ``vec_id, n_links, component_id, kept``.
 
     Vectors link if their cosine, in double precision, is ``threshold`` or more. Null, empty and zero vectors and those
-    with null or non-finite components link with nothing, nor do vectors of different dimensions or with a null id.
+    with null or non-finite entries link with nothing, nor do vectors of different dimensions or with a null id.
     Equal vectors are copies and link with each other; each row counts as a vector of its own in ``n_links``. Rows
     of equal id share a component. Other columns are neither read nor returned.
     """
@@ -231,7 +231,7 @@ def near_duplicate_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedd
     links = found.groupBy("k1", "k2").agg(F.sum("links").alias("links"))
     edges = found.select(F.col("rep").alias("src"), F.col("root").alias("dst")).where(F.col("src") != F.col("dst")).distinct()
     shared_id = keyed.join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select(F.col("rep").alias("src"), F.col("vec_id").alias("dst")).where(F.col("src") != F.col("dst")).distinct()
-    labels = connected_components(Graph.of(edges.unionByName(shared_id)))
+    labels = component_labels(Graph.of(edges.unionByName(shared_id)))
     counted = classes.join(links, ["k1", "k2"], "left").select("k1", "k2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     of = labels.select(F.col("v").alias("of"), "label")
     ids = every.select("vec_id", F.when(valid, F.xxhash64("embedding")).alias("a"), F.when(valid, F.xxhash64(F.lit(7), "embedding")).alias("b"))
