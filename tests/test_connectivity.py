@@ -4,10 +4,14 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph.operators.contraction import component_labels_of_split, split_high_degree
-from weftgraph.operators.edges import degrees
+from weftgraph.operators.edges import breadth_first, degrees
+from weftgraph.operators.labels import numbered
+from weftgraph.operators.partitions import owners
 from weftgraph.plans.connectivity import STRATEGIES, Graph, component_labels, symmetric
+from weftgraph.plans.lineage import Shelf, cut
 from weftgraph.plans.unionfind import forest_edges, min_labels
 
 BIG = 1 << 61
@@ -64,6 +68,49 @@ def test_strategies(spark, strategy, name):
     assert solve(graph_of(spark, edges, vertices), strategy, **conf) == expected(edges, vertices)
 
 
+def test_cut_forgets_the_sizes_that_were_guessed(spark):
+    state = spark.range(100).withColumnRenamed("id", "v")
+    for _ in range(20):
+        state = cut(state.join(state.withColumnRenamed("v", "w"), F.col("v") == F.col("w")).select("v"))
+    guess = state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert int(str(guess)).bit_length() <= 64 and state.count() == 100
+
+
+@pytest.mark.parametrize("strategy", ["exponential", "local_contraction"])
+def test_every_level_shrinks(spark, strategy):
+    edges = [(i, i + 1) for i in range(3000)] + [(i, (i * 7919) % 3000) for i in range(0, 3000, 5)]
+    trace = []
+    assert set(solve(graph_of(spark, edges, []), strategy, base=50, trace=trace).values()) == {0}
+    left = [x["edges"] for x in trace]
+    assert len(left) <= 6 and all(b <= 0.6 * a for a, b in zip(left, left[1:])) and all(x["seconds"] > 0 for x in trace)
+
+
+def test_shelf(spark):
+    shelf = Shelf(spark, "v long")
+    assert shelf.all().count() == 0
+    assert [shelf.add(spark.range(n).withColumnRenamed("id", "v")) for n in (3, 0, 2)] == [3, 0, 2]
+    assert shelf.last().count() == 2 and shelf.last(2).count() == 2
+    assert sorted(r["v"] for r in shelf.taken().collect()) == [0, 0, 1, 1, 2]
+
+
+def test_distances(spark):
+    edges = [(i, i + 1) for i in range(12)] + [(0, 6), (20, 21)]
+    both = symmetric(graph_of(spark, edges, []).edges)
+    want = {0: 0, 1: 1, 2: 2, 3: 3, 4: 3, 5: 2, 6: 1, 7: 2, 8: 3, 9: 4, 10: 5, 11: 6, 12: 7}
+    assert {r["v"]: r["distance"] for r in breadth_first(both, 0).collect()} == want
+    assert {r["v"]: r["distance"] for r in breadth_first(both, 0, 2).collect()} == {v: d for v, d in want.items() if d <= 2}
+    assert breadth_first(both, 99).count() == 0
+
+
+def test_numbers_and_owners(spark):
+    values = [5, -3, 1 << 61, 7, 0, 12]
+    rows = spark.createDataFrame([(v,) for v in values], "v long")
+    assert {r["v"]: r["number"] for r in numbered(rows, "v").collect()} == {v: i for i, v in enumerate(sorted(values))}
+    assert numbered(rows.limit(0), "v").count() == 0
+    owned = spark.createDataFrame([(0, 0, 1), (1, 1, 6), (2, 6, 6), (3, 6, 1000)], "pe long, low long, high long")
+    assert {r["v"]: r["pe"] for r in owners(rows, owned).collect()} == {0: 0, 5: 1, 7: 3, 12: 3}
+
+
 def test_null_ends_are_no_edges(spark):
     graph = Graph.of(spark.createDataFrame([(1, 2), (None, 3), (4, None)], "src long, dst long"))
     assert solve(graph, "default") == {1: 1, 2: 1}

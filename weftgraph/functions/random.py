@@ -14,7 +14,17 @@ MODULUS = 2147483647
 RANGE = MODULUS - 1
 
 
+def _scrambled(v: Column, iteration: int) -> Column:
+    """Another id for each iteration but the first. The generator is linear, so that without it two neighbours would start
+    about as far apart in every iteration, and what one does not bring together the next ones would not either."""
+    if not iteration:
+        return v
+    x = F.pmod(v, F.lit(MODULUS))
+    return (F.pmod(x * x + 48271 * iteration, F.lit(MODULUS)) * MULTIPLIER + x) % MODULUS
+
+
 def _state(v: Column, seed: int, n: int, iteration: int) -> Column:
+    v = _scrambled(v, iteration)
     s = F.pmod(F.pmod(v, F.lit(4294967296)) + F.lit(seed + iteration * (n + seed)), F.lit(4294967296)) % MODULUS
     return F.when(s == 0, F.lit(1).cast("long")).otherwise(s)
 
@@ -40,3 +50,10 @@ def hashed(a: Column, b: Column, seed: int) -> Column:
     """A number below 2^31 - 1 of two ids, for samples that can be repeated."""
     mixed = F.pmod(F.pmod(a, F.lit(MODULUS)) * 48271 + F.pmod(b, F.lit(MODULUS)) * MULTIPLIER + seed, F.lit(MODULUS))
     return _next(_next(mixed))
+
+
+def mixed(v: Column, salt: int, seed: int) -> Column:
+    """A number below 2^31 - 1 of an id, by three rounds, since one is linear in the id. Salts give independent numbers."""
+    a = hashed(v, F.lit(7919 * (salt + 1)).cast("long"), seed)
+    b = hashed(F.pmod(a * a, F.lit(MODULUS)) + v, F.lit(104729 + salt).cast("long"), seed + salt)
+    return F.pmod(b * F.pmod(a + 12345, F.lit(MODULUS)), F.lit(MODULUS))
