@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.partitions import Part, cut_edges, ghosts, interface, local_component_labels
-from weftgraph.plans.connectivity import Graph, component_labels, default, project_back, quotient_edges
+from weftgraph.plans.connectivity import Graph, component_labels, project_back, quotient_edges
 from weftgraph.plans.lineage import cut
 
 
@@ -24,9 +24,9 @@ def local_contraction_graph(both: DataFrame, local: DataFrame, part: Part) -> Da
     return quotient_edges(both, mapping)
 
 
-def component_labels_by_parts(both: DataFrame, vertices: DataFrame, part: Part, mode: str = "single") -> DataFrame:
+def component_labels_by_parts(both: DataFrame, vertices: DataFrame, part: Part, mode: str = "single", strategy: str = "default", **conf) -> DataFrame:
     """``v, label`` by what the parts see first: their connected sets are contracted (``single``), twice (``twice``), or only
-    their vertices without cut edges are (``local``); what is left is solved by the default strategy and projected back."""
+    their vertices without cut edges are (``local``); what is left is solved by the strategy and projected back."""
     mappings: list[DataFrame] = []
     for _ in range(2 if mode == "twice" else 1):
         local = cut(local_component_labels(both, vertices, part))
@@ -38,7 +38,7 @@ def component_labels_by_parts(both: DataFrame, vertices: DataFrame, part: Part,
         mappings.append(cut(mapping))
         both = cut(quotient_edges(both, mapping))
         vertices = mappings[-1].select(F.col("cv").alias("v")).distinct()
-    labels = default(both, vertices)
+    labels = component_labels(Graph(both, vertices), strategy, **conf)
     for mapping in reversed(mappings):
         labels = project_back(mapping, labels)
     return labels
@@ -90,12 +90,12 @@ def split_high_degree(both: DataFrame, vertices: DataFrame, heavy: DataFrame, mo
     return vertices.select("v", zero.alias("salt")).unionByName(every), moved.unionByName(links).unionByName(back)
 
 
-def component_labels_of_split(split_vertices: DataFrame, split_edges: DataFrame, strategy: str = "default") -> DataFrame:
+def component_labels_of_split(split_vertices: DataFrame, split_edges: DataFrame, strategy: str = "default", **conf) -> DataFrame:
     """``v, label`` of the vertices themselves, solved on the split graph; salted vertices are named by a hash."""
     node = lambda v, salt: F.xxhash64(v, salt)
     named = split_vertices.withColumn("node", node("v", "salt"))
     edges = split_edges.select(node("src", "src_salt").alias("src"), node("dst", "dst_salt").alias("dst"))
-    labels = component_labels(Graph(edges, named.select(F.col("node").alias("v"))), strategy)
+    labels = component_labels(Graph(edges, named.select(F.col("node").alias("v"))), strategy, **conf)
     raw = named.where(F.col("salt") == 0).join(labels.select(F.col("v").alias("node"), F.col("label").alias("raw")), "node")
     least = raw.groupBy("raw").agg(F.min("v").alias("label"))
     return raw.join(least, "raw").select("v", "label")

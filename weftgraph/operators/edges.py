@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.random import MODULUS, hashed
+from weftgraph.plans.lineage import Shelf
 
 
 def rebase(edges: DataFrame, by: int = 1) -> DataFrame:
@@ -81,18 +82,27 @@ def graph_size(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return vertices.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(once.agg(F.count(F.lit(1)).alias("m"))))  # one row each
 
 
+def add_vertices(vertices: DataFrame, more: DataFrame) -> DataFrame:
+    return vertices.select("v").union(more.select("v")).distinct()
+
+
+def remove_vertices(edges: DataFrame, vertices: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges and vertices without those in ``gone`` and the edges that end there."""
+    names = gone.select(F.col("v").alias("gone"))
+    left = edges.join(names, F.col("src") == F.col("gone"), "left_anti").join(names, F.col("dst") == F.col("gone"), "left_anti")
+    return left, vertices.join(names, F.col("v") == F.col("gone"), "left_anti")
+
+
 def breadth_first(both: DataFrame, start: Column | int, most: int | None = None) -> DataFrame:
-    """``v, distance`` of the vertices that ``start`` reaches, in ``most`` steps at most."""
-    from weftgraph.plans.lineage import cut
+    """``v, distance`` of the vertices that ``start`` reaches, in ``most`` steps at most.
 
-    reached = cut(both.select(F.col("src").alias("v")).where(F.col("v") == start).distinct().withColumn("distance", F.lit(0).cast("long")))
+    What a front reaches and is not in it or in the front before is new, so the others that were reached are not read again.
+    """
+    shelf = Shelf(both.sparkSession, "v long, distance long")
+    found = shelf.add(both.select(F.col("src").alias("v")).where(F.col("v") == start).distinct().withColumn("distance", F.lit(0).cast("long")))
     step = 0
-    while most is None or step < most:
-        front = reached.where(F.col("distance") == step)
+    while found and (most is None or step < most):
         step += 1
-        found = both.join(front.select("v"), both["src"] == front["v"], "left_semi").select(F.col("dst").alias("v")).distinct()
-        new = cut(found.join(reached, "v", "left_anti").withColumn("distance", F.lit(step).cast("long")))
-        if new.isEmpty():
-            break
-        reached = cut(reached.unionByName(new))
-    return reached
+        near = both.join(shelf.last().select(F.col("v").alias("at")), F.col("src") == F.col("at"), "left_semi").select(F.col("dst").alias("v")).distinct()
+        found = shelf.add(near.join(shelf.last(2), "v", "left_anti").withColumn("distance", F.lit(step).cast("long")))
+    return shelf.taken()

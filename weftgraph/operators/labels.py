@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.plans.lineage import cut
+
 
 def component_sizes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
@@ -20,13 +22,6 @@ def component_count(labels: DataFrame) -> DataFrame:
     return component_sizes(labels).agg(F.count_if(F.col("size") > 1).alias("num_nontrivial"), F.count(F.lit(1)).alias("num_all"))
 
 
-def heavy_hitters(labels: DataFrame, k: int) -> DataFrame:
-    """``label, cnt`` of labels that more than 1 / k of the vertices bear; fewer than k rows."""
-    n = labels.agg(F.count(F.lit(1)).alias("n"))
-    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("cnt"))
-    return sizes.join(F.broadcast(n)).where(F.col("cnt") * k > F.col("n")).select("label", "cnt")  # one row
-
-
 def top_labels(labels: DataFrame, k: int) -> DataFrame:
     return labels.groupBy("label").agg(F.count(F.lit(1)).alias("cnt")).orderBy(F.desc("cnt"), "label").limit(k)
 
@@ -38,18 +33,21 @@ def same_component(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce(F.col("la") == F.col("lb"), F.lit(False)).alias("same"))
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``number``: their place, from 0, in that order. Rows are dealt out by ranges and numbered in each; what is
+    summed in one task has a row for each range, not for rows or their values."""
+    placed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()))
+    sizes = placed.groupBy(F.shiftright("id", 33).alias("range")).agg(F.count(F.lit(1)).alias("size"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.broadcast(sizes.select("range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first")))  # as many rows as shuffle partitions
+    at = F.col("first") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(first, F.shiftright("id", 33) == F.col("range")).select(*rows.columns, at.cast("long").alias("number"))
+
+
 def dense_labels(labels: DataFrame) -> DataFrame:
-    """``v, dense``: labels renumbered from 0 in order.
-
-    Labels are counted by range first; each range is numbered in its own task from the sum of those before.
-    """
-    names = labels.select("label").distinct().withColumn("block", F.floor(F.col("label") / 65536).cast("long"))
-    sizes = names.groupBy("block").agg(F.count(F.lit(1)).alias("size"))
-    # one row for each 65536 ids: what is summed in one task is that much shorter than the labels
-    offset = F.coalesce(F.sum("size").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    row = F.row_number().over(Window.partitionBy("block").orderBy("label")) - 1
-    number = names.withColumn("row", row).join(sizes.withColumn("offset", offset), "block").select(F.col("label").alias("name"), (F.col("offset") + F.col("row")).cast("long").alias("dense"))
-    return labels.join(number, F.col("label") == F.col("name")).select("v", "dense")
+    """``v, dense``: labels renumbered from 0 in order."""
+    names = numbered(labels.select(F.col("label").alias("name")).distinct(), "name")
+    return labels.join(names, F.col("label") == F.col("name")).select("v", F.col("number").alias("dense"))
 
 
 def component_prefix_sum(local: DataFrame) -> DataFrame:

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.operators.labels import numbered
 from weftgraph.plans.connectivity import default
+from weftgraph.plans.lineage import cut
 
 Part = Callable[[Column], Column]
 
@@ -43,15 +45,18 @@ def adjacent_parts(both: DataFrame, part: Part) -> DataFrame:
     return cut_edges(both, part).select(part(F.col("src")).alias("pe"), part(F.col("dst")).alias("other")).distinct()
 
 
+def part_vertices(both: DataFrame, vertices: DataFrame, part: Part) -> DataFrame:
+    """``pe, v, ghost``: all that a part holds, its own vertices and its ghosts."""
+    own = vertices.select(part(F.col("v")).alias("pe"), "v", F.lit(False).alias("ghost"))
+    return own.unionByName(ghosts(both, part).select("pe", "v", F.lit(True).alias("ghost")))
+
+
 def local_ids(vertices: DataFrame, part: Part) -> DataFrame:
-    """``v, pe, local_id``: each part's vertices numbered from 0. Counts within ranges of ids come first, so that no task
-    has to number a whole part."""
-    block = F.floor(F.col("v") / 65536).cast("long")
-    placed = vertices.select("v", part(F.col("v")).alias("pe"), block.alias("block"))
-    sizes = placed.groupBy("pe", "block").agg(F.count(F.lit(1)).alias("size"))
-    offset = F.coalesce(F.sum("size").over(Window.partitionBy("pe").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = placed.withColumn("row", F.row_number().over(Window.partitionBy("pe", "block").orderBy("v")) - 1)
-    return numbered.join(sizes.withColumn("offset", offset), ["pe", "block"]).select("v", "pe", (F.col("offset") + F.col("row")).cast("long").alias("local_id"))
+    """``v, pe, local_id``: each part's vertices numbered from 0. All are numbered by part and id, so that no task has to
+    number a whole part."""
+    placed = cut(numbered(vertices.select("v", part(F.col("v")).alias("pe")), "pe", "v"))
+    first = F.broadcast(placed.groupBy("pe").agg(F.min("number").alias("first")))  # one row a part
+    return placed.join(first, "pe").select("v", "pe", (F.col("number") - F.col("first")).alias("local_id"))
 
 
 def ranges(vertices: DataFrame, parts: int) -> DataFrame:
@@ -61,8 +66,22 @@ def ranges(vertices: DataFrame, parts: int) -> DataFrame:
 
 
 def owners(vertices: DataFrame, owned: DataFrame) -> DataFrame:
-    """``v, pe`` by a range join; ``owned`` has a row for each part and is broadcast."""
-    return vertices.join(F.broadcast(owned), (F.col("v") >= F.col("low")) & (F.col("v") < F.col("high"))).select("v", "pe")
+    """``v, pe`` of the range ``low`` to ``high``, its end excluded, that holds a vertex; ``owned`` has a row for each range.
+
+    Ranges, which may be unequal, are laid on a grid of about four cells a range, and vertices meet those of their cell:
+    a join by equality, of which each side may be large.
+    """
+    width = owned.agg(F.greatest(F.lit(1), F.ceil((F.max("high") - F.min("low")) / (4 * F.greatest(F.lit(1), F.count(F.lit(1)))))).cast("long").alias("width"))
+    cell = lambda x: F.floor(x / F.col("width")).cast("long")
+    laid = owned.where("low < high").join(F.broadcast(width)).withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high") - 1))))  # one row is broadcast
+    placed = vertices.join(F.broadcast(width)).select("v", cell(F.col("v")).alias("cell"))
+    return placed.join(laid.select("cell", "low", "high", "pe"), "cell").where((F.col("v") >= F.col("low")) & (F.col("v") < F.col("high"))).select("v", "pe")
+
+
+def owners_of_equal_ranges(vertices: DataFrame, parts: int) -> DataFrame:
+    """``v, pe`` where the ids from 0 to the largest are cut into equal ranges: a division, without a join of the ranges."""
+    space = vertices.agg(F.ceil((F.max("v") + 1) / F.lit(parts)).cast("long").alias("step"))
+    return vertices.join(F.broadcast(space)).select("v", F.floor(F.col("v") / F.col("step")).cast("long").alias("pe"))  # one row is broadcast
 
 
 def part_stats(both: DataFrame, vertices: DataFrame, part: Part) -> DataFrame:
