@@ -1,6 +1,11 @@
 """Readers on files as they are written by hand; generators' structure; the command line."""
 
+import itertools
+import math
+
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_connectivity import expected
 
 from weftgraph import cli
@@ -107,3 +112,47 @@ def test_cli(spark, tmp_path, capsys):
     said = capsys.readouterr().out
     assert len(seconds) == 2 and "nontrivial=2" in said and "size=3 (num=2)" in said
     assert spark.read.parquet(str(tmp_path / "labels")).count() == 6
+
+
+@pytest.mark.parametrize("d, n", [(2, 40), (3, 24)])
+def test_delaunay_has_the_edges_of_simplices_with_empty_balls(spark, d, n):
+    points = np.array([[r[f"x{k}"] for k in range(d)] for r in generators.points(spark, n, d).orderBy("v").collect()])
+    want = set()
+    for corners in itertools.combinations(range(n), d + 1):
+        ball = generators._balls(points, np.array([corners]))[0]
+        others = [i for i in range(n) if i not in corners]
+        if (((points[others] - ball[:d]) ** 2).sum(axis=1) > ball[d]).all():
+            want |= set(itertools.combinations(corners, 2))
+    assert {p for p in pairs(generators.rdg(spark, n, d, cell=1000)) if p[0] < p[1]} == want
+
+
+def test_delaunay_in_cells_of_three_dimensions(spark):
+    one, many = (set(pairs(generators.rdg(spark, 500, 3, cell=c))) for c in (1000, 60))
+    assert len(one ^ many) <= 0.1 * len(one)  # nearly all of so few points are at the hull
+
+
+def test_hyperbolic_pairs(spark, monkeypatch):
+    monkeypatch.setattr(generators, "MET", 20)
+    n, seed = 300, 1
+    radius = 2 * math.log(2 * n * (0.9 / 0.4) ** 2 / (math.pi * 8))
+    unit = lambda k: F.col(f"u{k}")
+    rows = spark.range(n).select(F.col("id").alias("v"), *(generators._unit(F.col("id"), k, seed).alias(f"u{k}") for k in (1, 2))).select("v", unit(1), unit(2)).orderBy("v").collect()
+    r = [min(radius, math.acosh(1 + x["u1"] * (math.cosh(0.9 * radius) - 1)) / 0.9) for x in rows]
+    t = [x["u2"] * 2 * math.pi for x in rows]
+    far = lambda a, b: math.cosh(r[a]) * math.cosh(r[b]) - math.sinh(r[a]) * math.sinh(r[b]) * math.cos(t[a] - t[b])
+    want = [(a, b) for a in range(n) for b in range(a + 1, n) if far(a, b) <= math.cosh(radius)]
+    assert [p for p in pairs(generators.rhg(spark, n, 2.8, 8, seed)) if p[0] < p[1]] == want
+
+
+def test_the_first_of_many_keys(spark, monkeypatch):
+    monkeypatch.setattr(generators, "ORDERED", 8)
+    keys = sorted({(i * i * 31) % 100_003 for i in range(3000)})
+    rows = spark.createDataFrame([(k,) for k in keys], "k long")
+    assert [generators._cutoff(rows, "k", m, 100_003) for m in (1, 700, len(keys))] == [keys[0], keys[699], keys[-1]]
+
+
+@pytest.mark.parametrize("flags", [["-single"], ["-contraction", "-strategy", "exponential", "-fixed-seq", "0", "-bfs"], ["-local", "-strategy", "sequential"], ["-replicate", "-hd-thres", "0.5"], ["-seq", "0.5", "-strategy", "local_contraction"], ["-strategy", "shortcut", "-heavy-hitters", "4", "-direct"]])
+def test_cli_modes(spark, tmp_path, flags):
+    path = file(tmp_path, "6 5\n3\n3\n1 2\n5 6\n4\n4\n")
+    cli.main(["-input", "file", "-path", path, "-parts", "3", "-out", str(tmp_path / "labels"), *flags], spark)
+    assert {r["v"]: r["label"] for r in spark.read.parquet(str(tmp_path / "labels")).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}

@@ -7,13 +7,14 @@ a shuffle nor a single task is needed. Blank lines count, lines that begin with
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftgraph.operators.partitions import owners
 from weftgraph.plans.connectivity import Graph, symmetric
 
 
@@ -57,9 +58,9 @@ def read_adjacency_parts(spark: SparkSession, path: str) -> tuple[Graph, DataFra
     n, _, parts = (int(x) for x in lines.where(F.col("line") == 0).select(_numbers(F.col("value"))).first()[0][:3])
     sizes = {r["line"]: int(r["value"].split()[0]) for r in lines.where((F.col("line") > 0) & (F.col("line") <= parts)).collect()}
     ends = np.cumsum([sizes[i + 1] for i in range(parts)]).tolist()
-    owned = spark.createDataFrame([(i, (ends[i - 1] if i else 0), ends[i]) for i in range(parts)], "part long, low long, high long")
+    owned = spark.createDataFrame([(i, (ends[i - 1] if i else 0), ends[i]) for i in range(parts)], "pe long, low long, high long")
     vertices = spark.range(n).select(F.col("id").alias("v"))
-    of = vertices.join(F.broadcast(owned), (F.col("v") >= F.col("low")) & (F.col("v") < F.col("high"))).select("v", "part")
+    of = owners(vertices, owned).withColumnRenamed("pe", "part")
     return Graph(_adjacency(lines, parts + 1, F.lit(n)), vertices), of
 
 
@@ -90,21 +91,15 @@ def read_edge_list_parts(spark: SparkSession, path: str) -> Graph:
 
 def read_binary(spark: SparkSession, path: str) -> Graph:
     """Records of two unsigned 64-bit numbers in this machine's order: first n and m, then the edges, counted from 1. Both
-    directions. An RDD, since only its reader splits files of fixed records."""
+    directions. Spark's reader of fixed records splits the file; the records are taken apart in the JVM."""
     records = spark.sparkContext.binaryRecords(path, 16)
-    n = int(np.frombuffer(records.first(), np.uint64)[0])
-
-    def edges(parts):
-        import itertools
-
-        while chunk := list(itertools.islice(parts, 1 << 16)):
-            pairs = np.frombuffer(b"".join(chunk), np.uint64).reshape(-1, 2).astype(np.int64) - 1
-            yield from zip(pairs[:, 0].tolist(), pairs[:, 1].tolist())
-
-    # the header is the first record of the first split
-    body = records.mapPartitionsWithIndex(lambda i, rows: (x for k, x in enumerate(rows) if i or k))
-    frame = spark.createDataFrame(body.mapPartitions(edges), "src long, dst long")
-    return Graph(symmetric(frame), spark.range(n).select(F.col("id").alias("v")))
+    encoder = spark.sparkContext._jvm.org.apache.spark.sql.Encoders.BINARY()
+    rows = DataFrame(spark._jsparkSession.createDataset(records._jrdd.rdd(), encoder).toDF(), spark).select(F.monotonically_increasing_id().alias("at"), F.hex("value").alias("digits"))
+    places = range(7, -1, -1) if sys.byteorder == "little" else range(8)
+    number = lambda first: F.conv(F.concat(*(F.substring("digits", 2 * (first + k) + 1, 2) for k in places)), 16, 10).cast("long")
+    n = rows.limit(1).select(number(0).alias("n")).first()["n"]
+    body = rows.where(F.col("at") > 0).select((number(0) - 1).alias("src"), (number(8) - 1).alias("dst"))  # the header is the first record of the first split
+    return Graph(symmetric(body), spark.range(n).select(F.col("id").alias("v")))
 
 
 @dataclass(frozen=True)
@@ -134,8 +129,3 @@ def load_graph(spark: SparkSession, source: Source) -> Graph:
     if source.input is None and source.gen in generators.GENERATORS:
         return generators.GENERATORS[source.gen](spark, source)
     raise ValueError(f"neither a known kind of file nor a generator: {source.input}, {source.gen}")
-
-
-def pandas_edges(edges: DataFrame) -> pd.DataFrame:
-    """A small graph's edges, for writers of single files."""
-    return edges.select("src", "dst").toPandas()

@@ -5,11 +5,15 @@ Text is written by Spark, in parts whose names are in the order of their lines.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.plans.connectivity import Graph
+from weftgraph.plans.lineage import cut, ship
 
 
 def _lines(rows: DataFrame, path: str) -> None:
@@ -45,10 +49,24 @@ def write_edge_list_parts(edges: DataFrame, n: int, parts: int, path: str) -> No
         write_edge_list(own.coalesce(1), n, f"{path}_{k}")
 
 
+def _records(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pairs = np.column_stack([batch.column(k).to_numpy() for k in (0, 1)]).astype(np.uint64) + np.uint64(1)
+        yield pa.RecordBatch.from_arrays([pa.array([pairs.tobytes()], pa.binary())], ["records"])
+
+
 def write_binary(edges: DataFrame, n: int, path: str) -> None:
-    """One local file of records, streamed through the driver partition by partition. For exchange of small graphs."""
+    """One file of records, on any file system that Spark knows. Executors make the records, a batch of edges at a time; the
+    driver puts the batches into the file one after another, since a file has one writer."""
+    spark = edges.sparkSession
+    ship(spark)
+    rows = cut(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).mapInArrow(_records, "records binary"))
     m = edges.count()
-    with open(path, "wb") as f:
-        f.write(np.array([n, m], np.uint64).tobytes())
-        for row in edges.select("src", "dst").toLocalIterator():
-            f.write(np.array([row["src"] + 1, row["dst"] + 1], np.uint64).tobytes())
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(where, True)
+    try:
+        out.write(bytearray(np.array([n, m], np.uint64).tobytes()))
+        for row in rows.toLocalIterator():
+            out.write(bytearray(row["records"]))
+    finally:
+        out.close()
