@@ -6,7 +6,6 @@ a conversation in a row; ``copies``, documents of equal text. Where vertices are
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -20,6 +19,7 @@ from weftgraph.operators import labels as L
 from weftgraph.operators import partitions as P
 from weftgraph.plans import connectivity as K
 from weftgraph.plans.connectivity import Graph, component_labels, symmetric
+from weftgraph.plans.lineage import shared_folder
 from weftgraph.sources import generators, readers, writers
 
 PARTS = 4
@@ -45,6 +45,18 @@ def parts(spark: SparkSession, d: str) -> Graph:
     return Graph(edges, orders.union(_read(spark, d, "part", "p_partkey").select(other_of("p_partkey").alias("v"))))
 
 
+def _sparse(spark: SparkSession, d: str) -> Graph:
+    """The part of ``parts`` whose lines are of 49 and more; most orders have none."""
+    lines = _read(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_quantity").where("l_quantity >= 49")
+    edges = lines.select(order_of("l_orderkey").alias("src"), other_of("l_partkey").alias("dst")).distinct()
+    return Graph(edges, K.endpoints(edges))
+
+
+def _heavy_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with a line of 50."""
+    return _read(spark, d, "lineitem", "l_orderkey", "l_quantity").where("l_quantity >= 50").select(order_of("l_orderkey").alias("v")).distinct()
+
+
 def customers(spark: SparkSession, d: str) -> Graph:
     orders = _read(spark, d, "orders", "o_custkey", "o_orderkey")
     edges = orders.select(order_of("o_custkey").alias("src"), other_of("o_orderkey").alias("dst"))
@@ -93,7 +105,7 @@ def _dense_customers(spark: SparkSession, d: str) -> tuple[Graph, int]:
 
 def _folder(spark: SparkSession) -> str:
     """A place for files that all executors see."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/graph-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
 
 
 def _state(graph: Graph) -> DataFrame:
@@ -153,9 +165,11 @@ def _files(kind: str) -> Callable[[SparkSession, str], DataFrame]:
         if kind == "edgelist_parts":
             writers.write_edge_list_parts(once, n, PARTS, path)
             return readers.read_edge_list_parts(spark, path).edges
-        local = f"{tempfile.mkdtemp()}/edges.bin"
-        writers.write_binary(once, n, local)
-        return readers.read_binary(spark, local).edges
+        if kind == "dispatch":
+            writers.write_edge_list(once, n, path)
+            return readers.load_graph(spark, readers.Source(input="edgefile", path=path)).edges
+        writers.write_binary(once, n, f"{path}/edges.bin")
+        return readers.read_binary(spark, f"{path}/edges.bin").edges
 
     return query
 
@@ -179,6 +193,7 @@ def queries() -> dict[str, Query]:
         "cc_sequential": _cc(customers, "sequential"),
         "cc_label_propagation": _cc(turns, "label_propagation"),
         "cc_shortcut": _cc(turns, "shortcut"),
+        "cc_shortcut_heavy": _cc(turns, "shortcut", hitters=8),
         "cc_exponential": _cc(customers, "exponential", base=1000),
         "cc_exponential_bfs": _cc(customers, "exponential_bfs", base=1000),
         "cc_local_contraction": _cc(parts, "local_contraction", base=1000),
@@ -189,7 +204,7 @@ def queries() -> dict[str, Query]:
         "component_size_histogram": _of(copies, lambda g: L.size_histogram(labels(g))),
         "component_count": _of(copies, lambda g: L.component_count(labels(g))),
         "same_component": lambda s, d: L.same_component(_asked(s, d), labels(parts(s, d))),
-        "heavy_hitters": _of(customers, lambda g: L.heavy_hitters(labels(g), 1000)),
+        "heavy_hitters": _of(customers, lambda g: K.heavy_labels(labels(g), 1000)),
         "top_k_labels": _of(customers, lambda g: L.top_labels(labels(g), 10)),
         "dense_labels": _of(copies, lambda g: L.dense_labels(labels(g))),
         # edges and vertices
@@ -197,7 +212,11 @@ def queries() -> dict[str, Query]:
         "edges_rebased": _of(parts, lambda g: E.rebase(g.edges)),
         "adjacency_lists": _of(customers, lambda g: E.adjacency_lists(_both(g))),
         "non_isolated_vertices": _of(parts, lambda g: E.non_isolated(g.vertices, _both(g))),
-        "isolated_vertices": _of(customers, lambda g: E.isolated(g.vertices, _both(g))),
+        "isolated_vertices": lambda s, d: E.isolated(parts(s, d).vertices, _both(_sparse(s, d))),
+        "add_vertices": lambda s, d: E.add_vertices(customers(s, d).vertices, parts(s, d).vertices),
+        "remove_vertices": lambda s, d: E.remove_vertices(parts(s, d).edges, parts(s, d).vertices, _heavy_lines(s, d))[0],
+        "remove_vertices_left": lambda s, d: E.remove_vertices(parts(s, d).edges, parts(s, d).vertices, _heavy_lines(s, d))[1],
+        "active_vertices": _of(parts, lambda g: K.endpoints(K.quotient_edges(_both(g), _min_mapping(_both(g), g.vertices)))),
         "is_adjacent": lambda s, d: E.adjacent(_asked(s, d), _both(parts(s, d))),
         "duplicate_edges": lambda s, d: E.duplicates(_read(s, d, "lineitem", "l_partkey", "l_suppkey").select(order_of("l_partkey").alias("src"), other_of("l_suppkey").alias("dst"))),
         "high_degree_vertices": _of(parts, lambda g: E.high_degree(_both(g), g.vertices, 0.2)),
@@ -217,6 +236,8 @@ def queries() -> dict[str, Query]:
         "adjacent_partitions": _of(parts, lambda g: P.adjacent_parts(_both(g), PART)),
         "local_ids": _of(parts, lambda g: P.local_ids(g.vertices, PART)),
         "vertex_owner": _of(parts, lambda g: P.owners(g.vertices, P.ranges(g.vertices, PARTS))),
+        "vertex_owner_equal": _of(parts, lambda g: P.owners_of_equal_ranges(g.vertices, PARTS)),
+        "part_vertices": _of(customers, lambda g: P.part_vertices(_both(g), g.vertices, PART)),
         "partition_stats": _of(parts, lambda g: P.part_stats(_both(g), g.vertices, PART)),
         "graph_params": _of(parts, lambda g: P.graph_params(_both(g), g.vertices, PART)),
         "avg_max_degree": _of(parts, lambda g: P.mean_max_degree(_both(g), g.vertices, PART, PARTS)),
@@ -248,12 +269,18 @@ def queries() -> dict[str, Query]:
         "src_edgelist": _files("edgelist"),
         "src_edgelist_parts": _files("edgelist_parts"),
         "src_binary": _files("binary"),
+        "src_dispatch": _files("dispatch"),
+        "gen_dispatch": lambda s, d: readers.load_graph(s, readers.Source(gen="grid_2d", n=60, m=40)).edges,
         "gen_grid_2d": lambda s, d: generators.grid_2d(s, 60, 40).edges,
+        "gen_grid_2d_thinned": lambda s, d: generators.grid_2d(s, 60, 40, p=0.7, seed=SEED).edges,
+        "gen_grid_2d_periodic": lambda s, d: generators.grid_2d(s, 60, 40, periodic=True).edges,
         "gen_rgg": lambda s, d: generators.rgg(s, 2000, 0.03).edges,
+        "gen_rgg_3d": lambda s, d: generators.rgg(s, 2000, 0.08, 3).edges,
         "gen_gnm": lambda s, d: generators.gnm(s, 5000, 20000).edges,
         "gen_rhg": lambda s, d: generators.rhg(s, 2000).edges,
         "gen_ba": lambda s, d: generators.ba(s, 5000, 4).edges,
         "gen_rdg": lambda s, d: generators.rdg(s, 2000).edges,
+        "gen_rdg_3d": lambda s, d: generators.rdg(s, 1000, 3).edges,
     }
 
 
@@ -307,6 +334,31 @@ def _sql(graph: str, body: str, *more: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(ctes) + f"\n{body}"
 
 
+def _hashed_sql(a: str, b: str, seed: int) -> str:
+    return f"(((((({a})%2147483647)*48271+(({b})%2147483647)*16807+{seed})%2147483647)*16807)%2147483647*16807)%2147483647"
+
+
+def _mixed_ctes(source: str, salts: int, seed: int = 1) -> str:
+    """Tables m0, m1, ... that add to the ids ``v`` of a table the numbers x0, x1, ..."""
+    out, of = [], source
+    for k in range(salts):
+        out.append(f"a{k} AS (SELECT *, {_hashed_sql('v', str(7919 * (k + 1)), seed)} AS a{k} FROM {of})")
+        out.append(f"b{k} AS (SELECT *, {_hashed_sql(f'(a{k}*a{k})%2147483647+v', str(104729 + k), seed + k)} AS b{k} FROM a{k})")
+        out.append(f"m{k} AS (SELECT *, (b{k}*((a{k}+12345)%2147483647))%2147483647 AS x{k} FROM b{k})")
+        of = f"m{k}"
+    return ", ".join(out)
+
+
+def _both_ways(pairs: str) -> str:
+    return f"SELECT src, dst FROM ({pairs}) UNION ALL SELECT dst, src FROM ({pairs})"
+
+
+def _rgg_sql(n: int, r: float, dimensions: int) -> str:
+    away = "+".join(f"(p.x{k}/2147483647e0-q.x{k}/2147483647e0)*(p.x{k}/2147483647e0-q.x{k}/2147483647e0)" for k in range(dimensions))
+    near = f"SELECT p.v AS src, q.v AS dst FROM m{dimensions - 1} p JOIN m{dimensions - 1} q ON p.v<q.v WHERE 0e0+{away}<={r}*CAST({r} AS DOUBLE)"
+    return f"WITH v0 AS (SELECT range AS v FROM range({n})), {_mixed_ctes('v0', dimensions)}, near AS MATERIALIZED ({near}) {_both_ways('SELECT * FROM near')}"
+
+
 def oracle_sql() -> dict[str, str]:
     cc = lambda g, body: _sql(g, body, _CC, recursive=True)
     local = lambda g, body, *more: _sql(g, body, _LOCAL, *more, recursive=True)
@@ -324,11 +376,13 @@ def oracle_sql() -> dict[str, str]:
     hop = lambda a, z: f"{z} AS (SELECT v, arg_min(d, (d,l)) AS d, arg_min(l, (d,l)) AS l FROM (SELECT v,d,l FROM {a} UNION ALL SELECT b.dst, {a}.d, {a}.l FROM b JOIN {a} ON b.src={a}.v) GROUP BY v)"
     stats = f"""ps AS (SELECT {_PE('vs.v')} AS pe, count(*) AS n, CAST(coalesce(sum(m),0) AS BIGINT) AS m, CAST(coalesce(sum(c),0) AS BIGINT) AS cut, coalesce(max(m),0) AS max_degree
   FROM vs LEFT JOIN (SELECT src, count(*) AS m, count(*) FILTER (WHERE {cut}) AS c FROM b GROUP BY src) x ON x.src=vs.v GROUP BY 1)"""
+    grid = "WITH g AS (SELECT range AS v FROM range(2400)), e AS (SELECT v AS src, v+1 AS dst FROM g WHERE v%40<39 UNION ALL SELECT v, v+40 FROM g WHERE v<2360) SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e"
     out = {
         "cc_default": cc("parts", labels),
         "cc_sequential": cc("customers", labels),
         "cc_label_propagation": cc("turns", labels),
         "cc_shortcut": cc("turns", labels),
+        "cc_shortcut_heavy": cc("turns", labels),
         "cc_exponential": cc("customers", labels),
         "cc_exponential_bfs": cc("customers", labels),
         "cc_local_contraction": cc("parts", labels),
@@ -346,7 +400,11 @@ def oracle_sql() -> dict[str, str]:
         "edges_rebased": _sql("parts", "SELECT src-1 AS src, dst-1 AS dst FROM e"),
         "adjacency_lists": _sql("customers", "SELECT src AS v, list_sort(list(dst)) AS neighbors FROM b GROUP BY src"),
         "non_isolated_vertices": _sql("parts", "SELECT v FROM vs WHERE v IN (SELECT src FROM b)"),
-        "isolated_vertices": _sql("customers", "SELECT v FROM vs WHERE v NOT IN (SELECT src FROM b)"),
+        "isolated_vertices": _sql("parts", "SELECT v FROM vs WHERE v NOT IN (SELECT l_orderkey*2 FROM lineitem WHERE l_quantity>=49 UNION SELECT l_partkey*2+1 FROM lineitem WHERE l_quantity>=49)"),
+        "add_vertices": f"SELECT v FROM ({_VERTICES['customers']}) UNION SELECT v FROM ({_VERTICES['parts']})",
+        "remove_vertices": _sql("parts", "SELECT src, dst FROM e WHERE src NOT IN (SELECT l_orderkey*2 FROM lineitem WHERE l_quantity>=50)"),
+        "remove_vertices_left": _sql("parts", "SELECT v FROM vs WHERE v NOT IN (SELECT l_orderkey*2 FROM lineitem WHERE l_quantity>=50)"),
+        "active_vertices": _sql("parts", "SELECT src AS v FROM q UNION SELECT dst FROM q", step, q1),
         "is_adjacent": _sql("parts", f"SELECT a, p.b AS b, EXISTS (SELECT 1 FROM b x WHERE x.src=p.a AND x.dst=p.b) AS adjacent FROM ({asked}) p"),
         "duplicate_edges": "SELECT l_partkey*2 AS src, l_suppkey*2+1 AS dst, count(*) AS times FROM lineitem GROUP BY 1,2 HAVING count(*)>1",
         "high_degree_vertices": _sql("parts", "SELECT src AS v, count(*) AS degree FROM b GROUP BY src HAVING count(*) >= (SELECT floor(0.2*sqrt(CAST(count(*) AS DOUBLE))) FROM vs)"),
@@ -366,6 +424,8 @@ def oracle_sql() -> dict[str, str]:
         "adjacent_partitions": _sql("parts", f"SELECT DISTINCT {_PE('src')} AS pe, {_PE('dst')} AS other FROM b WHERE {cut}"),
         "local_ids": _sql("parts", f"SELECT v, {_PE('v')} AS pe, row_number() OVER (PARTITION BY {_PE('v')} ORDER BY v)-1 AS local_id FROM vs"),
         "vertex_owner": _sql("parts", f"SELECT v, v // (SELECT CAST(ceil((max(v)+1)/{PARTS}.0) AS BIGINT) FROM vs) AS pe FROM vs"),
+        "vertex_owner_equal": _sql("parts", f"SELECT v, v // (SELECT CAST(ceil((max(v)+1)/{PARTS}.0) AS BIGINT) FROM vs) AS pe FROM vs"),
+        "part_vertices": _sql("customers", f"SELECT {_PE('v')} AS pe, v, false AS ghost FROM vs UNION ALL SELECT DISTINCT {_PE('src')}, dst, true FROM b WHERE {cut}"),
         "partition_stats": _sql("parts", "SELECT pe, n, m, cut, max_degree FROM ps", stats),
         "graph_params": _sql("parts", "SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(m)//2 AS BIGINT) AS m, min(cut) AS min_cut, max(cut) AS max_cut, max(max_degree) AS max_degree FROM ps", stats),
         "avg_max_degree": _sql("parts", f"SELECT CAST(sum(max_degree)//{PARTS} AS BIGINT) AS avg_max_degree FROM ps", stats),
@@ -393,6 +453,11 @@ def oracle_sql() -> dict[str, str]:
         "undo_mapping": _sql("parts", "SELECT ms.v, coalesce(m2.cv, ms.label) AS cv FROM ms LEFT JOIN m2 ON m2.v=ms.label", step, q1, q2),
         "split_high_degree": cc("customers", labels),
         "run_statistics": "SELECT event_type, count(value) AS runs, round(avg(value),6) AS mean, round(stddev_samp(value),6) AS deviation FROM events GROUP BY event_type",
-        "gen_grid_2d": "WITH g AS (SELECT range AS v FROM range(2400)), e AS (SELECT v AS src, v+1 AS dst FROM g WHERE v%40<39 UNION ALL SELECT v, v+40 FROM g WHERE v<2360) SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e",
-    }
-    return out | {f"src_{kind}": dense_edges for kind in ("metis", "metis_parts", "edgelist", "edgelist_parts", "binary")}
+        "gen_grid_2d": grid, "gen_dispatch": grid,
+        "gen_grid_2d_thinned": f"WITH g AS (SELECT range AS v FROM range(2400)), e AS (SELECT v AS src, v+1 AS dst FROM g WHERE v%40<39 UNION ALL SELECT v, v+40 FROM g WHERE v<2360), k AS (SELECT * FROM e WHERE {_hashed_sql('src', 'dst', SEED)}<{int(0.7 * 2147483647)}) {_both_ways('SELECT * FROM k')}",
+        "gen_grid_2d_periodic": "WITH g AS (SELECT range AS v FROM range(2400)), e AS (SELECT v AS src, v//40*40+(v+1)%40 AS dst FROM g UNION ALL SELECT v, (v+40)%2400 FROM g) SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e",
+        "gen_rgg": _rgg_sql(2000, 0.03, 2),
+        "gen_rgg_3d": _rgg_sql(2000, 0.08, 3),
+        "gen_gnm": f"WITH v0 AS (SELECT range AS v FROM range({int(1.2 * 20000) + 64})), {_mixed_ctes('v0', 2)}, k AS MATERIALIZED (SELECT least(x0%5000,x1%5000) AS src, greatest(x0%5000,x1%5000) AS dst, min(v) AS i FROM m1 WHERE x0%5000<>x1%5000 GROUP BY 1,2 ORDER BY i LIMIT 20000) {_both_ways('SELECT src, dst FROM k')}",
+    }
+    return out | {f"src_{kind}": dense_edges for kind in ("metis", "metis_parts", "edgelist", "edgelist_parts", "binary", "dispatch")}
