@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.plans.lineage import cut, ship
+from weftgraph.plans import lineage
+from weftgraph.plans.lineage import cut
 
 __all__ = ["NOT_SPACE", "SPACE", "cut", "fresh", "kept", "read", "ship", "spread", "words_of"]
 
 #: The characters that separate words, as a class for Java's and Python's expressions.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
+#: Bytes of a batch that goes to a Python worker, about. By rows alone, as Spark bounds them, a batch of long texts could be any size.
+BATCH_BYTES = 8 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the workers. A session that does not bound its batches' bytes gets BATCH_BYTES."""
+    lineage.ship(spark)
+    if int(spark.conf.get(_BYTES)) > 1 << 30:
+        spark.conf.set(_BYTES, BATCH_BYTES)
+
 
 def words_of(text: Column) -> Column:
     """The words of a text, in order; none for null."""
