@@ -1,22 +1,37 @@
 """Multi-party chat formatting by perspective rotation, in DataFrame expressions only.
 
 For every participant of a dialogue the dialogue is rendered once with that speaker as the assistant and all others
-as named users; the mask holds the spans that the assistant says. Turns are rendered in parts of BLOCK turn
-numbers, so that no row and no group grows with the length of a conversation.
+as named users; the mask holds the spans that the assistant says. A view comes in parts of PART utterances, so that no
+row and no group grows with the length of a conversation; its parts, one after another, are the whole rendering.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.runtime import read
+from weftgraph.llm.runtime import cut, read
+from weftgraph.operators.labels import numbered
 
-#: Turn numbers of a part, as a power of two.
-BLOCK_BITS = 6
+#: Utterances of a part.
+PART = 64
 #: Roles that set the scene and are nobody's perspective.
 CONTEXT_ROLES = ("system",)
 START, END = "<|im_start|>", "<|im_end|>"
+#: What begins a mark, and what it becomes in a text: whatever a text says, it holds no mark. Taking one bar from each gives the text again.
+MARK, ESCAPED = "<|", "<||"
+#: Characters that a name may not have, by the code that stands for each; the percent sign first, so that no two names become one.
+NAME_CODES = {c: f"%{ord(c):02X}" for c in "% \t\n\x0b\f\r<>|\""}
+#: The name of a speaker without one; no other becomes it.
+NAMELESS = "%"
+
+
+def name_of(role: Column) -> Column:
+    """The name of a speaker: different ones for different roles."""
+    coded = reduce(lambda name, c: F.replace(name, F.lit(c), F.lit(NAME_CODES[c])), NAME_CODES, role)
+    return F.when(role == "", F.lit(NAMELESS)).otherwise(coded)
 
 
 def _segments(turns: Column, speaker: Column) -> Column:
@@ -24,9 +39,9 @@ def _segments(turns: Column, speaker: Column) -> Column:
 
     def segment(t: Column) -> Column:
         own = t["role"] == speaker
-        named = F.concat(F.lit("user name="), F.regexp_replace(t["role"], r"[\s<>|]+", "_"))
-        head = F.when(own, F.lit("assistant")).when(t["role"].isin(*CONTEXT_ROLES), t["role"]).otherwise(named)
-        return F.struct(F.concat(F.lit(START), head, F.lit("\n")).alias("head"), F.concat(t["text"], F.lit(END)).alias("body"), own.alias("own"))
+        head = F.when(own, F.lit("assistant")).when(t["role"].isin(*CONTEXT_ROLES), t["role"]).otherwise(F.concat(F.lit("user name="), name_of(t["role"])))
+        body = F.replace(t["text"], F.lit(MARK), F.lit(ESCAPED))
+        return F.struct(F.concat(F.lit(START), head, F.lit("\n")).alias("head"), F.concat(body, F.lit(END)).alias("body"), own.alias("own"))
 
     return F.transform(turns, segment)
 
@@ -46,29 +61,39 @@ def _spans(segments: Column) -> Column:
 
 
 def rotate_perspectives(turns: DataFrame, *, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row per conversation, part and participant: ``conv_id, part, perspective, n_turns, text, spans``.
+    """One row per conversation, participant and part: ``conv_id, perspective, part, n_turns, context, text, spans``.
+
+    Utterances are put in order of turn number, role and text, and PART of them at a time make a part, counted from 0; an
+    ordinary conversation has part 0 alone. The parts' texts in order are the view's whole text; ``spans`` count from the
+    start of a part's text. ``context`` is the conversation's first utterance of a context role, rendered, for parts that
+    it does not stand in; else it is empty.
 
-    ``part`` is the turn number divided by 2^BLOCK_BITS; an ordinary conversation has part 0 alone. Within a part turns
-    are ordered by number, then role, then text. Equal rows (same conversation, turn, role and text) are one
-    utterance. A null role is the speaker '', a null text is empty, a null turn comes first, in part -1 (so does
-    any negative number down to -2^BLOCK_BITS), a null id makes a conversation of its own. A conversation of context
-    roles alone has no participant and so no row. Other columns are neither read nor returned.
+    Every row is an utterance, equal ones, too. A null role is the speaker '', a null text is empty, null turns come
+    first, a null id makes a conversation of its own. A very long text is one utterance like any other. A conversation of
+    context roles alone has no participant and so no row; an empty table gives none. Other columns are neither read nor
+    returned.
     """
-    block = F.coalesce(F.shiftright(F.col(turn).cast("long"), BLOCK_BITS), F.lit(-1))
-    said = turns.select(
-        F.col(conversation).alias("conv_id"), block.cast("long").alias("part"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
-    )
-    parts = said.groupBy("conv_id", "part").agg(F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
-    speakers = said.where(~F.col("role").isin(*CONTEXT_ROLES)).select(F.col("conv_id").alias("of"), F.col("role").alias("perspective")).distinct()
-    views = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
-    views = views.withColumn("segments", _segments(F.col("turns"), F.col("perspective")))
-    whole = F.concat_ws("\n", F.transform("segments", lambda s: F.concat(s["head"], s["body"])))
-    return views.select("conv_id", "part", "perspective", F.size("turns").cast("long").alias("n_turns"), F.concat(whole, F.lit("\n")).alias("text"), _spans(F.col("segments")).alias("spans"))
+    said = turns.select(F.col(conversation).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # places in the order of all conversations, found by ranges, which also cut a conversation that holds much of the table
+    placed = cut(numbered(said, "conv_id", "turn", "role", "text"))
+    context = F.col("role").isin(*CONTEXT_ROLES)
+    first = placed.groupBy("conv_id").agg(F.min("number").alias("first"), F.min(F.when(context, F.col("number"))).alias("scene"))
+    scenes = placed.where(context).join(first.select("scene"), F.col("number") == F.col("scene")).select(F.col("scene").alias("at"), F.struct("role", "text").alias("scene_said"))
+    known = first.join(scenes, F.col("scene") == F.col("at"), "left").select(F.col("conv_id").alias("of"), "first", "scene", "scene_said")
+    at = placed.join(known.select("of", "first"), F.col("conv_id").eqNullSafe(F.col("of"))).withColumn("part", F.floor((F.col("number") - F.col("first")) / PART).cast("long"))
+    parts = at.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("number", "role", "text"))).alias("turns"))
+    speakers = placed.where(~context).select("conv_id", F.col("role").alias("perspective")).distinct()
+    speakers = speakers.join(known, F.col("conv_id").eqNullSafe(F.col("of"))).drop("conv_id")
+    views = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("of"))).withColumn("segments", _segments(F.col("turns"), F.col("perspective")))
+    whole = lambda segments: F.concat_ws("", F.transform(segments, lambda s: F.concat(s["head"], s["body"], F.lit("\n"))))
+    elsewhere = F.col("scene") < F.col("turns")[0]["number"]
+    scene = F.when(elsewhere, whole(_segments(F.array("scene_said"), F.col("perspective")))).otherwise(F.lit(""))
+    return views.select("conv_id", "perspective", "part", F.size("turns").cast("long").alias("n_turns"), scene.alias("context"), whole(F.col("segments")).alias("text"), _spans(F.col("segments")).alias("spans"))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rendered texts; their spans as a line of ``start-end`` and their summed length."""
+    """The rendered texts of all conversations; their spans as a line of ``start-end`` and their summed length."""
     views = rotate_perspectives(read(spark, sf_dir, "conversations"))
     line = F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))))
     masked = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return views.select("conv_id", "part", "perspective", "n_turns", "text", line.alias("spans"), masked.alias("n_masked"))
+    return views.select("conv_id", "perspective", "part", "n_turns", "context", "text", line.alias("spans"), masked.alias("n_masked"))

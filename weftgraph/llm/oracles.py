@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftgraph.llm.chat_format import BLOCK_BITS, CONTEXT_ROLES, END, START
+from weftgraph.llm.chat_format import CONTEXT_ROLES, END, ESCAPED, MARK, NAME_CODES, NAMELESS, PART, START
 from weftgraph.llm.minhash import SHINGLE, SIMILAR
 from weftgraph.llm.quality_rules import CHARACTER_CLASSES, COMMON_WORDS, SPACE_CLASS, SYMBOLS, WINDOW
 from weftgraph.llm.vector_dedup import SIMILAR as SIMILAR_VECTORS
@@ -82,14 +82,22 @@ SELECT v AS doc_id, label AS class_id, v=label AS kept FROM cc"""
 
 def chat_format_sql() -> str:
     context = ", ".join(map(_quoted, CONTEXT_ROLES))
-    return rf"""WITH u AS (SELECT DISTINCT conv_id, coalesce(turn >> {BLOCK_BITS}, -1) AS part, turn, coalesce(role,'') AS role, coalesce(text,'') AS text FROM conversations),
+    name = "role"
+    for c, code in NAME_CODES.items():
+        name = f"replace({name}, chr({ord(c)}), '{code}')"
+    head = f"'{START}' || CASE WHEN role=perspective THEN 'assistant' WHEN role IN ({context}) THEN role ELSE 'user name=' || CASE WHEN role='' THEN '{NAMELESS}' ELSE {name} END END || chr(10)"
+    order = "turn NULLS FIRST, role, text"
+    return f"""WITH u AS (SELECT conv_id, turn, coalesce(role,'') AS role, coalesce(text,'') AS text FROM conversations),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY {order})-1 AS k FROM u),
+sc AS (SELECT conv_id AS sc_of, min(k) AS sc_k, arg_min(text, k) AS sc_text, arg_min(role, k) AS sc_role FROM n WHERE role IN ({context}) GROUP BY conv_id),
 p AS (SELECT DISTINCT conv_id AS c, role AS perspective FROM u WHERE role NOT IN ({context})),
-s AS (SELECT u.*, perspective, role=perspective AS own, text || '{END}' AS body, '{START}' || CASE WHEN role=perspective THEN 'assistant' WHEN role IN ({context}) THEN role
-  ELSE 'user name=' || regexp_replace(role, '[\s<>|]+', '_', 'g') END || chr(10) AS head FROM u JOIN p ON conv_id IS NOT DISTINCT FROM c),
-o AS (SELECT *, coalesce(sum(length(head)+length(body)+1) OVER (PARTITION BY conv_id, part, perspective ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)+length(head) AS start_at FROM s)
-SELECT conv_id, part, perspective, count(*) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS text,
-  coalesce(string_agg(CAST(start_at AS BIGINT) || '-' || CAST(start_at+length(body) AS BIGINT), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE own), '') AS spans,
-  CAST(coalesce(sum(length(body)) FILTER (WHERE own), 0) AS BIGINT) AS n_masked FROM o GROUP BY conv_id, part, perspective"""
+s AS (SELECT n.*, k//{PART} AS part, perspective, role=perspective AS own, replace(text, '{MARK}', '{ESCAPED}') || '{END}' AS body, {head} AS head FROM n JOIN p ON conv_id IS NOT DISTINCT FROM c),
+o AS (SELECT *, coalesce(sum(length(head)+length(body)+1) OVER (PARTITION BY conv_id, part, perspective ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0)+length(head) AS start_at FROM s),
+v AS (SELECT conv_id, perspective, part, count(*) AS n_turns, min(k) AS first_k, string_agg(head || body || chr(10), '' ORDER BY k) AS text,
+  coalesce(string_agg(CAST(start_at AS BIGINT) || '-' || CAST(start_at+length(body) AS BIGINT), ',' ORDER BY k) FILTER (WHERE own), '') AS spans,
+  CAST(coalesce(sum(length(body)) FILTER (WHERE own), 0) AS BIGINT) AS n_masked FROM o GROUP BY conv_id, part, perspective)
+SELECT conv_id, perspective, part, n_turns, CASE WHEN sc_k<first_k THEN '{START}' || sc_role || chr(10) || replace(sc_text, '{MARK}', '{ESCAPED}') || '{END}' || chr(10) ELSE '' END AS context, text, spans, n_masked
+FROM v LEFT JOIN sc ON conv_id IS NOT DISTINCT FROM sc_of"""
 
 
 def oracle_sql() -> dict[str, str]:
