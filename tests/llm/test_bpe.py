@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -35,10 +36,33 @@ def test_every_character_class(encoder, library):
 
 
 def test_long_rows_and_short_ones_agree(encoder, monkeypatch):
-    piece = ("abcab" * 200).encode()
-    rows = encoder.encode_bytes([piece])
+    rng = np.random.default_rng(0)
+    tokens = [t for t in encoder.tokens if t]
+    pieces = [("abcab" * 200).encode(), b"x" * 999, b"ab" * 600, b" \n" * 300, "é日".encode() * 200]
+    pieces += [b"".join(tokens[i] for i in rng.integers(0, len(tokens), 150)) for _ in range(20)]
+    pieces += [bytes(rng.choice(list(b"etaoin shr"), 700).tolist()) for _ in range(20)]
+    monkeypatch.setattr(bpe, "LONG_ROW", 10_000)
+    rows = encoder.encode_bytes(pieces)
     monkeypatch.setattr(bpe, "LONG_ROW", 10)
-    assert encoder.encode_bytes([piece]) == rows
+    assert encoder.encode_bytes(pieces) == rows
+
+
+def test_merges_whose_ranks_fall(monkeypatch):
+    """Ranks that no training gives: a merge makes a pair that comes before the one that was just merged."""
+    single = {bytes([b]): b for b in range(256)}
+    ranks = single | {b"ab": 300, b"abc": 260, b"bca": 280, b"abab": 270, b"cab": 290, b"aa": 310, b"aab": 265, b"ca": 320}
+    rng = np.random.default_rng(1)
+    pieces = [bytes(rng.choice(list(b"abc"), 60).tolist()) for _ in range(300)]
+    encoder = bpe.Encoder(ranks, r".+")
+    monkeypatch.setattr(bpe, "LONG_ROW", 1000)
+    rows = encoder.encode_bytes(pieces)
+    monkeypatch.setattr(bpe, "LONG_ROW", 4)
+    assert encoder.encode_bytes(pieces) == rows
+
+
+def test_a_long_pre_token_of_many_merges(encoder, library):
+    text = "".join(np.random.default_rng(2).choice(list("abcdefghijklmnopqrstuvwxyz"), 60_000))
+    assert next(encoder.encode([text])).tolist() == library.encode_ordinary(text)
 
 
 def test_worker_memory_starts_anew(encoder, library, monkeypatch):
@@ -67,6 +91,11 @@ def test_columns(spark, library):
     assert [r["ids"] for r in both] == [library.encode_ordinary(t or "") for _, t, *_ in rows]
     assert [bytes(r["back"]).decode() for r in both] == [t or "" for _, t, *_ in rows]
     assert bpe.encode_documents(docs.limit(0), vocabulary).count() == 0
+    named = bpe.token_rows(docs, vocabulary, "doc_id")
+    assert sorted((r["doc_id"], list(r["ids"])) for r in named.collect()) == [(r["doc_id"], list(r["ids"])) for r in both]
+    with pytest.raises(ValueError):
+        bpe.token_rows(docs, vocabulary, "doc_id", "N_TOKENS")
+    assert bpe.token_rows(docs.withColumnRenamed("ids", "__text"), vocabulary, "__text").count() == len(rows)
     assert docs.limit(1).select(bpe.decode(F.lit(None).cast("array<int>"), vocabulary).alias("d")).first()["d"] == b""
 
 

@@ -3,14 +3,15 @@
 A text is split by the tokenizer's pattern. Pre-tokens that a worker has not met are encoded together: their
 bytes stand in matrices whose rows have about the same length, and in each round every row merges its leftmost pair
 of least rank. Pairs are found in an open-addressing hash table held in arrays; a round also drops the merged
-column, and rows without a pair to merge leave the matrix.
+column, and rows without a pair to merge leave the matrix. A row of more than LONG_ROW bytes is a matrix of its own, in
+which a round merges, from the left, all occurrences of the least pair up to the first that makes a pair of lower rank;
+that is the same sequence of merges, in as many rounds as there are different ones.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -25,7 +26,7 @@ from weftgraph.llm.runtime import fresh, kept, read, ship, spread
 
 #: Rank of a pair that does not merge.
 NONE = np.int32(2**31 - 1)
-#: Pre-tokens of more bytes are merged one by one with a heap, since a row costs the square of its length.
+#: Bytes of a pre-token beyond which its row merges many occurrences a round; one a round costs the square of its length.
 LONG_ROW = 2048
 #: Cells of a matrix at most.
 CELLS = 1 << 19
@@ -216,25 +217,30 @@ class Encoder:
 
     def _encode_long(self, piece: bytes) -> bytes:
         ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
-        heap = [(int(r), i, int(ids[i]), int(ids[i + 1])) for i, r in enumerate(self.pairs.lookup(ids[:-1], ids[1:])) if r != NONE]
-        heapq.heapify(heap)
-        token, n = ids.tolist(), len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank_of = self.ranks.get
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if j >= n or token[i] != a or token[j] != b:
-                continue  # one of the two has merged meanwhile
-            token[i], token[j] = rank, -1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (r := rank_of(self.tokens[rank] + self.tokens[token[k]])) is not None:
-                    heapq.heappush(heap, (r, i, rank, token[k]))
-            if (h := before[i]) >= 0 and (r := rank_of(self.tokens[token[h]] + self.tokens[rank])) is not None:
-                heapq.heappush(heap, (r, h, token[h], rank))
-        return np.array([t for t in token if t >= 0], np.int32).tobytes()
+        rank = self.pairs.lookup(ids[:-1], ids[1:])
+        while len(rank) and (least := rank.min()) != NONE:
+            at = np.flatnonzero(rank == least)
+            start = np.r_[True, np.diff(at) > 1]
+            run = np.arange(len(at)) - np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
+            at = at[run % 2 == 0]  # of overlapping occurrences the left one merges
+            # each occurrence meets what is on its left by then, and on its right what no merge has reached
+            before = np.where(np.r_[False, np.diff(at) == 2], least, ids[at - 1])
+            before[at == 0] = -1
+            after = ids[np.minimum(at + 2, len(ids) - 1)].copy()
+            after[at + 2 >= len(ids)] = -1
+            merged = np.full(len(at), least, np.int32)
+            sooner = np.flatnonzero((self.pairs.lookup(before, merged) < least) | (self.pairs.lookup(merged, after) < least))
+            if len(sooner):
+                at = at[: sooner[0] + 1]
+            stay = np.ones(len(ids), bool)
+            stay[at + 1] = False
+            ids[at] = least
+            ids, rank = ids[stay], np.append(rank, NONE)[stay][:-1]
+            place = at - np.arange(len(at))
+            for p in (place - 1, place):
+                p = p[(p >= 0) & (p < len(rank))]
+                rank[p] = self.pairs.lookup(ids[p], ids[p + 1])
+        return ids.tobytes()
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text, in order. Pre-tokens of about SLICE characters are held at a time."""
@@ -278,7 +284,11 @@ class Vocabulary:
 
 
 def encode(text: Column, vocabulary: Vocabulary) -> Column:
-    """``array<int>``: the token ids of a text. Null and empty texts have none, special strings are ordinary text."""
+    """``array<int>``: the token ids of a text. Null and empty texts have none, special strings are ordinary text.
+
+    Each row stands for itself: repeated texts give the same ids again, and no rows give none. A text is encoded whole,
+    however long it is or its pre-tokens are; of pairs of equal rank the leftmost merges first. Names of columns play no part.
+    """
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -290,7 +300,11 @@ def encode(text: Column, vocabulary: Vocabulary) -> Column:
 
 
 def decode(ids: Column, vocabulary: Vocabulary) -> Column:
-    """``binary``: the bytes that token ids stand for; none for null or an empty array."""
+    """``binary``: the bytes that token ids stand for; none for null or an empty array.
+
+    Bytes need not be UTF-8 where ids were cut apart. An id that the vocabulary does not have is an error. Arrays of any
+    length are decoded whole; names of columns play no part.
+    """
 
     @F.pandas_udf("binary")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -312,7 +326,8 @@ def _round_trip(encoder: Encoder, texts: Iterable[str | None], with_ids: bool) -
 def round_trip(text: Column, vocabulary: Vocabulary) -> Column:
     """``struct<n_tokens, ids_sha256, decoded_sha256>``: what :func:`encode` and then :func:`decode` give, as digests.
 
-    Both run in one pass over the text, so that the ids need not go to the JVM and back.
+    Both run in one pass over the text, so that the ids need not go to the JVM and back. A null text is as an empty one; else
+    as :func:`encode`.
     """
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -326,9 +341,16 @@ def round_trip(text: Column, vocabulary: Vocabulary) -> Column:
 
 def token_rows(docs: DataFrame, vocabulary: Vocabulary, *columns: str, text: str = "text") -> DataFrame:
     """``columns`` of ``docs`` with ``n_tokens, ids_sha256, decoded_sha256, ids``, ROWS rows at a time, since ids take more room
-    than their text."""
+    than their text.
+
+    A row for each of ``docs``, repeated ones, too; null and empty texts have no ids. Columns of ``docs`` that are not named
+    are not returned; a named one may not be called as one of the four, in any case.
+    """
     made = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"]
-    named = docs.select(*columns, F.col(text).alias("__text"))
+    if clash := {c.lower() for c in columns} & set(made):
+        raise ValueError(f"columns are called as those that are made: {sorted(clash)}")
+    (held,) = fresh(docs, "text")
+    named = docs.select(*columns, F.col(text).alias(held))
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = vocabulary.encoder()
@@ -340,7 +362,7 @@ def token_rows(docs: DataFrame, vocabulary: Vocabulary, *columns: str, text: str
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(x, kind) for x, kind in zip(found, kinds))], [*columns, *made])
 
     kept = ", ".join(f"`{n}` {t}" for n, t in named.dtypes[:-1])
-    return named.mapInArrow(rows, f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")
+    return named.mapInArrow(rows, ", ".join(filter(None, [kept, "n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"])))
 
 
 def encode_documents(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
@@ -351,6 +373,7 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, text: str = "text"
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document; odd rows as in :func:`round_trip`."""
     import public_tokenizers
 
     vocabulary = Vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
