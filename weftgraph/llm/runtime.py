@@ -15,15 +15,16 @@ __all__ = ["NOT_SPACE", "SPACE", "cut", "fresh", "kept", "read", "ship", "spread
 #: The characters that separate words, as a class for Java's and Python's expressions.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
-#: Bytes of a batch that goes to a Python worker, about. By rows alone, as Spark bounds them, a batch of long texts could be any size.
+#: Bytes of a batch that goes to a Python worker, about. Spark's own bound is eight times that; as strings and numbers of Python a
+#: batch takes several times its bytes, in each core's worker.
 BATCH_BYTES = 8 << 20
 _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the workers. A session that does not bound its batches' bytes gets BATCH_BYTES."""
+    """Make this package importable on the workers. A session in which no bound of batches' bytes is set gets BATCH_BYTES."""
     lineage.ship(spark)
-    if int(spark.conf.get(_BYTES)) > 1 << 30:
+    if _BYTES not in spark.conf.getAll:
         spark.conf.set(_BYTES, BATCH_BYTES)
 
 

@@ -1,8 +1,8 @@
 """Token counts by a two-tier lookup of pre-token lengths, without shuffling pre-tokens.
 
-First tier: a table of frequent pre-tokens and their lengths in tokens, broadcast. It is taken from the
-vocabulary: merges are ranked by frequency, so the tokens of least rank that are whole pre-tokens are the frequent
-ones. At most FREQUENT entries, whatever the corpus. Second tier: what a worker has met besides; a pre-token in
+First tier: a table of the most frequent pre-tokens and their lengths in tokens, broadcast. Frequencies are those in a
+sample of SAMPLE documents; the table has FREQUENT entries of LONGEST characters at most, whatever the corpus. It
+decides no result, only how fast it is found. Second tier: what a worker has met besides; a pre-token in
 neither is encoded by the library, together with the others of its batch.
 
 Texts that the split by pre-tokens does not cover are counted whole by the library: those with a special token's
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,8 +26,10 @@ from pyspark.sql import functions as F
 from weftgraph.llm.bpe import SLICE, Splitter
 from weftgraph.llm.runtime import kept, read, ship, spread
 
-#: Entries of the broadcast table at most.
-FREQUENT = 32_768
+#: Documents of whose texts the frequencies are taken, those whose texts have the least hashes.
+SAMPLE = 4_000
+#: Entries of the broadcast table at most, and characters of one: about 3 MB.
+FREQUENT, LONGEST = 32_768, 32
 #: Pre-tokens that a worker remembers, the frequent ones included; beyond that the second tier starts anew.
 REMEMBERED = 400_000
 #: The split that byte-level pre-tokenizers of the ``tokenizers`` library make.
@@ -114,34 +117,53 @@ class TokenCounter:
             self._start()
 
 
-def frequent_lengths(model: str, most: int = FREQUENT) -> dict[str, int]:
-    """Lengths of the ``most`` frequent pre-tokens that the vocabulary knows as one token."""
+def _frequencies(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pre-tokens of a partition and how often they occur there."""
+    split, found = Splitter(BYTE_LEVEL), Counter()
+    for batch in batches:
+        for text in batch["text"]:
+            found.update(p for p in split(text) if len(p) <= LONGEST)
+    yield pd.DataFrame({"piece": list(found), "n": np.fromiter(found.values(), np.int64, len(found))})
+
+
+def frequent_pieces(texts: DataFrame, sample: int = SAMPLE, most: int = FREQUENT) -> list[str]:
+    """The ``most`` frequent pre-tokens of ``sample`` texts (column ``text``), the most frequent first, ties in order."""
+    ship(texts.sparkSession)
+    some = texts.where("text is not null").orderBy(F.xxhash64("text")).limit(sample)
+    counted = some.mapInPandas(_frequencies, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    return [r["piece"] for r in counted.orderBy(F.desc("n"), "piece").limit(most).collect()]
+
+
+def known_lengths(model: str, pieces: Iterable[str]) -> dict[str, int]:
+    """The lengths in tokens of those pieces that are pre-tokens by themselves, as the library gives them."""
     counter = TokenCounter(model)
     if not counter.splits:
         return {}
-    vocabulary = counter.library.get_vocab(with_added_tokens=False)
-    texts = (counter.library.decode([i], skip_special_tokens=False) for i in sorted(vocabulary.values()))
-    pieces = dict.fromkeys(t for t in texts if t and "�" not in t and counter.split(t) == [t] and not (counter.special and counter.special.search(t)))
-    chosen = list(pieces)[:most]
+    chosen = [p for p in pieces if not (counter.special and counter.special.search(p))]
     return {p: len(e) for p, e in zip(chosen, counter.library.encode_batch(chosen, add_special_tokens=False))}
 
 
 class CountingModel:
-    """A tokenizer file and its table of frequent pre-tokens, sent to the workers once; both are bounded by the file."""
+    """A tokenizer file and the table of frequent pre-tokens, sent to the workers once; bounded by the file and by FREQUENT."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, pieces: Iterable[str] = ()):
         ship(spark)
         with open(path, encoding="utf-8") as f:
             model = f.read()
-        self.name = hashlib.sha256(model.encode()).hexdigest()
-        self.sent = spark.sparkContext.broadcast((model, frequent_lengths(model)))
+        lengths = known_lengths(model, pieces)
+        self.name = hashlib.sha256(f"{model}{list(lengths)}".encode("utf-8", "surrogatepass")).hexdigest()
+        self.sent = spark.sparkContext.broadcast((model, lengths))
 
     def counter(self) -> TokenCounter:
         return kept(self.name, lambda: TokenCounter(*self.sent.value))
 
 
 def count_tokens(text: Column, model: CountingModel) -> Column:
-    """``long``: the tokens of a text; 0 for null and empty texts."""
+    """``long``: the tokens of a text; 0 for null and empty texts.
+
+    Each row stands for itself: repeated texts count again, and no rows give none. A text is counted whole, however long.
+    Names of columns play no part.
+    """
 
     @F.pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -156,10 +178,11 @@ def count_tokens(text: Column, model: CountingModel) -> Column:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str, limit: int = 512) -> DataFrame:
+    """``doc_id, n_bytes, n_tokens, over_limit`` of every document; null texts are empty, else as :func:`count_tokens`."""
     import public_tokenizers
 
-    model = CountingModel(spark, public_tokenizers.path("byte_bpe_50k.json"))
     docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    model = CountingModel(spark, public_tokenizers.path("byte_bpe_50k.json"), frequent_pieces(docs.select("text")))
     n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     counted = docs.select("doc_id", n_bytes.alias("n_bytes"), count_tokens(F.col("text"), model).alias("n_tokens"))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
