@@ -1,3 +1,4 @@
+import math
 import re
 
 import numpy as np
@@ -47,10 +48,55 @@ def check(spark, rows, most_off):
     return found
 
 
-def test_targets():
-    sizes, weights = np.array([10.0, 100, 1000, 0]), np.array([3.0, 1, 2, 3])
-    assert np.allclose(mixing.shared_targets(sizes, weights, 1665, 2), targets_by_hand(sizes.tolist(), weights.tolist(), 1665, 2))
-    assert mixing.shared_targets(np.array([]), np.array([]), 0, 2).tolist() == []
+def sources_of(spark, sizes, weights, docs=1):
+    rows = [(i, s, float(w), max(1.0, s / docs)) for i, (s, w) in enumerate(zip(sizes, weights))]
+    return spark.createDataFrame(rows, "place long, words long, weight double, scale double")
+
+
+def test_targets(spark):
+    for sizes, weights in (([10, 100, 1000, 0], [3, 1, 2, 3]), ([5, 5, 5], [1, 1, 1]), ([1, 2, 3, 4, 500], [9, 9, 9, 9, 1])):
+        total = 1.5 * sum(sizes)
+        found = [r["target"] for r in mixing.shared_targets(sources_of(spark, sizes, weights), total, 2).orderBy("place").collect()]
+        assert np.allclose(found, targets_by_hand(sizes, weights, total, 2))
+    assert mixing.shared_targets(sources_of(spark, [1], [1]).limit(0), 0, 2).count() == 0
+
+
+def test_tilts_are_those_of_the_dual(spark):
+    """Rates are min(2, exp(tilt * size)) and bring each source to its target, as a bisection in numpy does."""
+    rng = np.random.default_rng(0)
+    groups = [(i, int(s), int(rng.integers(1, 50))) for i in range(4) for s in np.unique(rng.integers(0, 3000, 60))]
+    words = [sum(s * n for p, s, n in groups if p == i) for i in range(4)]
+    targets = [0.1 * words[0], 1.7 * words[1], 2.0 * words[2], 1e-4 * words[3]]
+    sources = spark.createDataFrame([(i, words[i], 700.0, targets[i]) for i in range(4)], "place long, words long, scale double, target double")
+    solved = mixing.solve_tilts(spark.createDataFrame(groups, "place long, size long, n long"), sources, 2.0)
+    found = {r["place"]: r["tilt"] for r in solved.collect()}
+    assert found[2] == mixing.FULL
+    for i in (0, 1, 3):
+        size, n = (np.array([g[k] for g in groups if g[0] == i], float) for k in (1, 2))
+        got = lambda tilt: (np.minimum(2, np.exp(np.minimum(1, tilt * size / 700))) * n * size).sum()
+        low, high = -1e6, 1e6
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (low, mid) if got(mid) > targets[i] else (mid, high)
+        assert abs(found[i] - mid) <= 1e-4 * max(1, abs(mid)) and abs(got(found[i]) - targets[i]) <= 1e-6 * targets[i] + 1
+
+
+def test_rates_have_the_least_entropy(spark):
+    """No shift of rate between documents of a source that keeps its words has less relative entropy."""
+    rows = [(i, " ".join(["w"] * (i % 37)), "ab"[i % 2]) for i in range(300)]
+    groups = [(p, s, sum(1 for i, t, x in rows if x == "ab"[p] and len(t.split()) == s)) for p in (0, 1) for s in range(37)]
+    groups = [g for g in groups if g[2]]
+    words = [sum(s * n for p, s, n in groups if p == i) for i in (0, 1)]
+    sources = spark.createDataFrame([(i, words[i], 18.0, (1.4, 0.6)[i] * words[i]) for i in (0, 1)], "place long, words long, scale double, target double")
+    tilts = {r["place"]: r["tilt"] for r in mixing.solve_tilts(spark.createDataFrame(groups, "place long, size long, n long"), sources, 2.0).collect()}
+    entropy = lambda r: r * math.log(r) - r + 1
+    for p in (0, 1):
+        own = [(s, min(2, math.exp(tilts[p] * s / 18))) for q, s, n in groups if q == p and s]
+        for (s1, r1), (s2, r2) in zip(own, own[5:]):
+            for d in (1e-3, -1e-3):
+                a, b = r1 + d / s1, r2 - d / s2
+                if 0 < a <= 2 and 0 < b <= 2:
+                    assert entropy(a) + entropy(b) >= entropy(r1) + entropy(r2) - 1e-9
 
 
 def test_mix(spark):

@@ -3,7 +3,8 @@
 Among all document rates r (expected copies) between 0 and ``most`` that bring a source to its target, the ones of
 least relative entropy to the corpus as it is, sum of r ln r - r + 1, are r = min(most, exp(tilt * size)), with one
 tilt for each source. The tilts solve the convex dual: Newton's steps, guarded by bisection, each one a distributed
-sum over the table of (source, size, number of documents).
+sum over the table of (source, size, number of documents). Sources, targets and tilts are tables, too, so that there
+may be any number of them; the driver sees counts alone.
 
 Rates are then rounded to copies along the sizes: the copies of a source, taken in order of size, are the steps of
 the running sum of rates. The sums of copies and of rates differ by less than one document anywhere, so the words
@@ -15,42 +16,44 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.runtime import cut, fresh, read, words_of
+from weftgraph.operators.labels import numbered
 
 #: Starting points of the rounding that are tried.
 OFFSETS = 64
 #: Documents of one source and size that are ranked together, about.
 RANKED = 1_000
-#: Sources at most; their totals and tilts are held on the driver, some hundred bytes each.
-MAX_SOURCES = 1_000_000
+#: Sizes that are summed up together before the sums of a source are.
+SIZES = 256
 #: Sources up to which their table is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_SOURCES = 10_000
-#: Newton's steps at most.
-MAX_STEPS = 100
+#: Newton's steps at most. The bisection that guards them halves an interval of tilts every other step at least, so that doubles leave
+#: nothing to halve well before.
+MAX_STEPS = 200
 #: The tilt that stands for an infinite one.
 FULL = 1e30
-
-
-def shared_targets(sizes: np.ndarray, weights: np.ndarray, total: float, most: float) -> np.ndarray:
-    """Targets in proportion to weights, none above ``most`` times its source's size, summing up to ``total`` if they can."""
-    sizes, weights = np.asarray(sizes, float), np.asarray(weights, float)
-    limit = most * sizes
-    targets = np.zeros(len(sizes))
-    full = np.zeros(len(sizes), bool)
-    while not full.all():
-        rest = total - limit[full].sum()
-        share = rest * weights / weights[~full].sum()
-        over = ~full & (share > limit)
-        targets = np.where(full, limit, share)
-        if not over.any():
-            break
-        full |= over
-        targets = np.where(full, limit, targets)
-    return np.minimum(targets, limit)
+#: Relative distance from the target at which a source is solved.
+NEAR = 1e-7
+
+
+def shared_targets(sources: DataFrame, total: float, most: float) -> DataFrame:
+    """``sources`` (with ``words, weight``) with ``target``: in proportion to weights, none above ``most`` times its source's
+    words, what is above shared anew among the others. Each round adds full sources and sums three numbers."""
+    limit = most * F.col("words")
+    full = F.lit(False)
+    while True:
+        sums = sources.agg(F.sum(F.when(full, limit)).alias("taken"), F.sum(F.when(~full, F.col("weight"))).alias("open"), F.count_if(full).alias("n")).first()
+        if not sums["open"]:
+            return sources.withColumn("target", limit.cast("double"))
+        share = F.col("weight") * F.lit((total - (sums["taken"] or 0.0)) / sums["open"])
+        over = sources.where(~full & (share > limit)).count()
+        if not over:
+            return sources.withColumn("target", F.when(full, limit).otherwise(F.greatest(F.lit(0.0), share)).cast("double"))
+        # what is left for each weight grows from round to round, so that what was over stays so
+        full = share > limit
 
 
 @dataclass(frozen=True)
@@ -71,41 +74,37 @@ def _rates(tilt: Column, z: Column, most: float) -> Column:
     return F.when(tilt >= FULL, F.lit(float(most))).when(tilt <= -FULL, F.lit(0.0)).otherwise(tilted)
 
 
-def solve_tilts(groups: DataFrame, sizes: np.ndarray, scales: np.ndarray, targets: np.ndarray, most: float) -> np.ndarray:
-    """The tilt of each source, for sizes in units of ``scales``; FULL where the target is all that the source can give.
+def solve_tilts(groups: DataFrame, sources: DataFrame, most: float) -> DataFrame:
+    """``sources`` with ``tilt``, for sizes in units of ``scale``; FULL where the target is all that the source can give.
 
-    ``groups`` has ``place`` (of the source in the arrays), ``size`` and ``n``. Sums are taken of whole numbers, whose
-    order does not matter, so that reruns find the same tilts.
+    ``groups`` has ``place`` (of the source), ``size`` and ``n``; ``sources`` has ``place, words, scale, target``. Sums are taken
+    of whole numbers, whose order does not matter, so that reruns find the same tilts. A source that is not solved after
+    MAX_STEPS is an error.
     """
-    spark = groups.sparkSession
-    tilts = np.where(targets >= most * sizes * (1 - 1e-9), FULL, 0.0)
-    low, high = np.full(len(sizes), -np.inf), np.full(len(sizes), np.inf)
-    unsolved = (tilts == 0) & (targets > 0)
-    tilts[(tilts == 0) & ~unsolved] = -FULL
+    few = sources.count() <= BROADCAST_SOURCES
     words = F.col("n") * F.col("size")
     z = F.col("size") / F.col("scale")
     rate = _rates(F.col("tilt"), z, most)
     slope = F.when(rate < most, rate * z * words).otherwise(F.lit(0.0))
-    whole = lambda x, unit: F.sum(F.round(x * unit).cast("long"))
+    whole = lambda x, unit: F.sum(F.round(x * unit).cast("long")) / unit
+    start = F.when(F.col("target") >= most * F.col("words") * (1 - 1e-9), F.lit(FULL)).when(F.col("target") <= 0, F.lit(-FULL)).otherwise(F.lit(0.0))
+    state = cut(sources.withColumns({"tilt": start, "low": F.lit(-math.inf), "high": F.lit(math.inf)}).withColumn("solved", F.abs("tilt") == FULL))
     for _ in range(MAX_STEPS):
-        if not unsolved.any():
-            break
-        trial = spark.createDataFrame([(int(i), float(tilts[i]), float(scales[i])) for i in np.flatnonzero(unsolved)], "place int, tilt double, scale double")
-        trial = F.broadcast(trial) if len(sizes) <= BROADCAST_SOURCES else trial
-        for row in groups.join(trial, "place").groupBy("place").agg(whole(rate * words, 1024).alias("got"), whole(slope, 64).alias("slope")).collect():
-            i, gap, rise = row["place"], row["got"] / 1024 - targets[row["place"]], row["slope"] / 64
-            if abs(gap) <= 1e-7 * targets[i] or high[i] - low[i] <= 1e-12 * abs(tilts[i]):
-                unsolved[i] = False
-                continue
-            if gap > 0:
-                high[i] = tilts[i]
-            else:
-                low[i] = tilts[i]
-            step = tilts[i] - gap / rise if rise > 0 else np.nan
-            if not low[i] < step < high[i] or abs(step - tilts[i]) > 4 + 4 * abs(tilts[i]):
-                step = tilts[i] - np.sign(gap) * (1 + 3 * abs(tilts[i])) if np.isinf(low[i]) or np.isinf(high[i]) else (low[i] + high[i]) / 2
-            tilts[i] = step
-    return tilts
+        if state.where(~F.col("solved")).isEmpty():
+            return state.drop("low", "high", "solved")
+        trial = state.where(~F.col("solved")).select("place", "tilt", "scale")
+        got = groups.join(F.broadcast(trial) if few else trial, "place").groupBy("place").agg(whole(rate * words, 1024).alias("got"), whole(slope, 64).alias("rise"))
+        tilt, low, high, gap = F.col("tilt"), F.col("low"), F.col("high"), F.col("got") - F.col("target")
+        step = F.when(F.col("rise") > 0, tilt - gap / F.col("rise"))
+        inside = (low < step) & (step < high) & (F.abs(step - tilt) <= 4 + 4 * F.abs(tilt))
+        unbounded = (low == -math.inf) | (high == math.inf)
+        guarded = F.when(unbounded, tilt - F.signum(gap) * (1 + 3 * F.abs(tilt))).otherwise((low + high) / 2)
+        stepped = state.join(got, "place", "left")
+        stepped = stepped.withColumns({"high": F.when(gap > 0, tilt).otherwise(high), "low": F.when(gap <= 0, tilt).otherwise(low)})
+        ends = (F.abs(gap) <= NEAR * F.col("target")) | (high - low <= 1e-12 * F.abs(tilt))
+        over = F.col("solved") | ends
+        state = cut(stepped.select(*sources.columns, F.when(over, tilt).otherwise(F.when(inside, step).otherwise(guarded)).alias("tilt"), "low", "high", over.alias("solved")))
+    raise RuntimeError(f"{state.where(~F.col('solved')).count()} sources are not solved after {MAX_STEPS} steps")
 
 
 def mix(
@@ -116,33 +115,36 @@ def mix(
     Sources in order of code points, null last, weigh ``weights``, repeating; together they are to have ``share`` times
     the words of the corpus, each at most ``most`` times its own. Equal ids and equal rows are documents of their
     own, taken in an order that depends on their content only, so that reruns agree. A null or empty text has size 0
-    and is taken as often as its rate rounds to. All columns of ``docs`` stay; those that
+    and is taken as often as its rate rounds to; a very long one counts with all its words. An empty table gives none. All columns of ``docs`` stay; those that
     are added have names that ``docs`` does not use.
     """
-    spark = docs.sparkSession
     size, source_size, target, copies, place, bucket, key, at = fresh(docs, "size", "source_size", "target", "copies", "place", "bucket", "key", "at")
     sized = docs.withColumn(size, F.size(words_of(F.col(text))).cast("long"))
     counted = cut(sized.groupBy(F.col(source).alias("source"), F.col(size).alias("size")).agg(F.count(F.lit(1)).alias("n")))
-    totals = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("docs"), F.max("n").alias("largest")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    totals.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
-    names = [r["source"] for r in totals]
-    sizes = np.array([r["words"] for r in totals], float)
-    pattern = np.array([weights[i % len(weights)] for i in range(len(names))], float)
-    targets = shared_targets(sizes, pattern, share * sizes.sum(), most)
-    scales = np.maximum(1.0, sizes / np.maximum(1.0, np.array([r["docs"] for r in totals], float)))
-    small = F.broadcast if len(names) <= BROADCAST_SOURCES else (lambda df: df)
-
-    places = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "named string, place int")
-    groups = counted.join(small(places), F.col("source").eqNullSafe(F.col("named"))).select("place", "size", "n")
-    tilts = solve_tilts(groups, sizes, scales, targets, most)
-
-    solved = spark.createDataFrame([(i, float(tilts[i]), float(scales[i]), float(targets[i]), int(sizes[i])) for i in range(len(names))], "place int, tilt double, scale double, goal double, total long")
+    sums = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("docs"))
+    named = numbered(sums.select(F.col("source").isNull().alias("last"), "source", "words", "docs"), "last", "source").withColumnRenamed("number", "place")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("place") % len(weights)).cast("int") + 1)
+    scale = F.greatest(F.lit(1.0), F.col("words") / F.greatest(F.lit(1), F.col("docs")))
+    named = cut(named.select("source", "place", "words", weight.alias("weight"), scale.alias("scale")))
+    facts = named.agg(F.count(F.lit(1)).alias("sources"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
+    largest = counted.agg(F.max("n")).first()[0] or 0
+    small = F.broadcast if facts["sources"] <= BROADCAST_SOURCES else (lambda df: df)
+
+    places = named.select(F.col("source").alias("named"), "place")
+    groups = cut(counted.join(small(places), F.col("source").eqNullSafe(F.col("named"))).select("place", "size", "n"))
+    solved = solve_tilts(groups, shared_targets(named.drop("source", "weight").join(named.select("place", "weight"), "place"), share * facts["words"], most), most)
+
+    # running sums of rates: within blocks of sizes, then over the blocks
     rate = _rates(F.col("tilt"), F.col("size") / F.col("scale"), most)
-    running = Window.partitionBy("place").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    rated = groups.join(small(solved), "place").withColumn("rate", rate).withColumn("before", F.coalesce(F.sum(F.col("rate") * F.col("n")).over(running), F.lit(0.0)))
-    rated = cut(rated.select("place", "size", "n", "rate", "before", "goal", "total"))
+    rated = groups.join(small(solved), "place").withColumns({"rate": rate, "block": F.floor(F.col("size") / SIZES)})
+    within = Window.partitionBy("place", "block").orderBy("size")
+    rated = cut(rated.withColumn("upto", F.sum(F.col("rate") * F.col("n")).over(within.rowsBetween(Window.unboundedPreceding, 0))))
+    blocks = rated.groupBy("place", "block").agg(F.max("upto").alias("block_sum"))
+    earlier = Window.partitionBy("place").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("sum_before", F.coalesce(F.sum("block_sum").over(earlier), F.lit(0.0)))
+    before = F.col("sum_before") + F.coalesce(F.lag("upto").over(within), F.lit(0.0))
+    rated = rated.join(blocks, ["place", "block"]).withColumn("before", before)
+    rated = cut(rated.select("place", "size", "n", "rate", "before", F.col("target").alias("goal"), F.col("words").alias("total")))
 
     # the starting point that brings each source nearest to its target
     tried = rated.select("*", F.explode(F.sequence(F.lit(0), F.lit(OFFSETS - 1))).alias("k"))
@@ -153,9 +155,9 @@ def mix(
     plan = rated.join(best.select("place", ((F.col("best.k") + 0.5) / OFFSETS).alias("start")), "place")
 
     # documents of a source and size are ranked in buckets, so that no task ranks a large group of them
-    buckets = 1 << max(0, math.ceil(math.log2(max(1, max((r["largest"] for r in totals), default=0)) / RANKED)))
-    (named,) = fresh(sized, "named")
-    known = sized.join(small(places.select(F.col("named").alias(named), F.col("place").alias(place))), F.col(source).eqNullSafe(F.col(named))).drop(named)
+    buckets = 1 << max(0, math.ceil(math.log2(max(1, largest / RANKED))))
+    (name,) = fresh(sized, "named")
+    known = sized.join(small(places.select(F.col("named").alias(name), F.col("place").alias(place))), F.col(source).eqNullSafe(F.col(name))).drop(name)
     known = known.withColumn(key, F.xxhash64(F.col(doc_id).cast("string"), F.col(text)))
     known = known.withColumn(bucket, F.shiftrightunsigned(F.col(key), 40).cast("int") % buckets)
     if buckets == 1:
@@ -185,6 +187,7 @@ def take(mixed: Mix) -> DataFrame:
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` of every document, odd rows as in :func:`mix`."""
     mixed = mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     size = F.col(mixed.size)
     return mixed.docs.select("doc_id", size.alias("size"), F.col(mixed.source_size).alias("source_size"), F.col(mixed.target).alias("target"), (size * F.col(mixed.copies)).alias("taken"))
