@@ -95,7 +95,7 @@ def solve_tilts(groups: DataFrame, sources: DataFrame, most: float) -> DataFrame
         trial = state.where(~F.col("solved")).select("place", "tilt", "scale")
         got = groups.join(F.broadcast(trial) if few else trial, "place").groupBy("place").agg(whole(rate * words, 1024).alias("got"), whole(slope, 64).alias("rise"))
         tilt, low, high, gap = F.col("tilt"), F.col("low"), F.col("high"), F.col("got") - F.col("target")
-        step = F.when(F.col("rise") > 0, tilt - gap / F.col("rise"))
+        step = F.when(F.col("rise") > 0, tilt - F.try_divide(gap, F.col("rise")))
         inside = (low < step) & (step < high) & (F.abs(step - tilt) <= 4 + 4 * F.abs(tilt))
         unbounded = (low == -math.inf) | (high == math.inf)
         guarded = F.when(unbounded, tilt - F.signum(gap) * (1 + 3 * F.abs(tilt))).otherwise((low + high) / 2)

@@ -130,6 +130,7 @@ def frequent_pieces(texts: DataFrame, sample: int = SAMPLE, most: int = FREQUENT
     """The ``most`` frequent pre-tokens of ``sample`` texts (column ``text``), the most frequent first, ties in order."""
     ship(texts.sparkSession)
     some = texts.where("text is not null").orderBy(F.xxhash64("text")).limit(sample)
+    some = some.repartition(texts.sparkSession.sparkContext.defaultParallelism)  # a limit comes as one partition
     counted = some.mapInPandas(_frequencies, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     return [r["piece"] for r in counted.orderBy(F.desc("n"), "piece").limit(most).collect()]
 
