@@ -16,7 +16,7 @@ import math
 import zlib
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from operator import eq
 
@@ -29,16 +29,17 @@ from weftgraph.llm.runtime import fresh, kept, read, ship, spread
 
 #: Labelled documents of each class that a fit takes at most, those whose ids have the least hashes.
 FIT_ROWS = 6_000
-#: Features of a model at most, those that tell the labels apart best: each is in FIT_LEAST documents of the fit at
-#: least, and by FIT_ASSOCIATION standard deviations more or less frequent with label 1. Words that tell nothing
-#: would only add noise, the more the longer a document is. Features below that stay if they tell the labels apart
-#: together with another such feature, by FIT_TOGETHER standard deviations of the documents that have both; the
-#: PAIR_FEATURES most frequent ones are tried, all pairs of them.
+#: Features of a model at most. A feature enters by the gradient that it would have at the start of a fit, in standard deviations: its
+#: weight's is by how much it is more or less frequent with label 1, FIT_ASSOCIATION or more; that of its part in a pair is by how much
+#: the label differs where both are from where either is, FIT_TOGETHER or more. All pairs of words and structure features are tried.
+#: What enters in neither way would only add noise, the more the longer a document is. FIT_LEAST documents have a feature at least.
 FIT_FEATURES = 1 << 15
 FIT_LEAST = 4
 FIT_ASSOCIATION = 4.0
 FIT_TOGETHER = 6.0
-PAIR_FEATURES = 4096
+#: Documents of each class of the fit in which pairs are counted, and counters and keys that are held at a time.
+PAIR_ROWS = 2_000
+COUNTERS, KEYS = 1 << 24, 1 << 22
 #: Hashes are taken modulo this.
 BUCKETS = 1 << 24
 FACTORS = 8
@@ -53,18 +54,23 @@ SLICE = 1 << 21
 _PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
-def _hashed(term: str) -> int:
-    return zlib.crc32(term.encode("utf-8", "surrogatepass")) % BUCKETS
+def _hashed(term: str, pairable: bool = True) -> int:
+    """A feature of a term. Even ones are tried in pairs."""
+    return zlib.crc32(term.encode("utf-8", "surrogatepass")) % (BUCKETS >> 1) << 1 | (not pairable)
 
 
 def term_features(token: str) -> list[int]:
-    """The features of a token: the word within its punctuation, beginnings of it, and that punctuation."""
-    word = token.strip(_PUNCTUATION)
-    out = [_hashed(f"{n}{word[:n]}") for n in PREFIXES if len(word) > n]
-    if word:
-        out.append(_hashed(f"w{word}"))
-    if word != token:
-        out.append(_hashed(f"t{token[-3:]}" if word else f"t{token[:12]}"))
+    """The features of a token: the word within its punctuation, beginnings of it, and what punctuation stands on either side."""
+    tail = token.lstrip(_PUNCTUATION)
+    word = tail.rstrip(_PUNCTUATION)
+    if not word:
+        return [_hashed(f"p{token}", False)] if token else []
+    out = [_hashed(f"{n}{word[:n]}", False) for n in PREFIXES if len(word) > n]
+    out.append(_hashed(f"w{word}"))
+    if len(tail) < len(token):
+        out.append(_hashed(f"l{token[: len(token) - len(tail)]}", False))
+    if len(word) < len(tail):
+        out.append(_hashed(f"t{tail[len(word) :]}", False))
     return out
 
 
@@ -195,45 +201,79 @@ def association(ones: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> np.
     return np.abs(gap) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n0 + 1 / n1))
 
 
-def telling_together(place: np.ndarray, ends: np.ndarray, labels: np.ndarray, tried: np.ndarray, number: int) -> np.ndarray:
-    """Those of the features ``tried`` that tell the labels apart by FIT_TOGETHER in a pair of them. ``place`` has each
-    document's features, of ``number``, up to its place in ``ends``."""
+def telling_together(rows: list[np.ndarray], labels: np.ndarray, number: int) -> np.ndarray:
+    """Which of the features 0 to ``number`` - 1 tell the labels apart in a pair. ``rows`` has each document's, in order."""
+    tells = np.zeros(number, bool)
+    held, ones = np.zeros(number), np.zeros(number)
+    for row, label in zip(rows, labels):
+        held[row] += 1
+        ones[row] += label
+    block = max(1, COUNTERS // max(1, number))
+    for low in range(0, number, block):
+        counts = np.zeros((2, min(block, number - low) * number), np.int32)
+        keys: dict[int, list[np.ndarray]] = {0: [], 1: []}
+
+        def settle(label: int) -> None:
+            if keys[label]:
+                counts[label] += np.bincount(np.concatenate(keys[label]), minlength=counts.shape[1]).astype(np.int32)
+                keys[label] = []
+
+        for row, label in zip(rows, labels.astype(int).tolist()):
+            own = row[np.searchsorted(row, low) : np.searchsorted(row, low + block)] - low
+            for k in range(0, len(own), max(1, KEYS // max(1, len(row)))):
+                keys[label].append((own[k : k + max(1, KEYS // len(row)), None] * number + row[None, :]).ravel())
+                if sum(map(len, keys[label])) >= KEYS:
+                    settle(label)
+        settle(0)
+        settle(1)
+        for i in range(low, min(low + block, number)):
+            both = counts[:, (i - low) * number : (i - low + 1) * number]
+            other = np.flatnonzero(both.sum(axis=0) >= FIT_LEAST)
+            other = other[other != i]
+            n = both[:, other].sum(axis=0).astype(float)
+            share = both[1, other] / n
+
+            def away(every: np.ndarray, labelled: np.ndarray) -> np.ndarray:
+                rate = labelled / every
+                return np.abs(share - rate) / np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * np.maximum(1 / n - 1 / every, 1e-9))
+
+            hit = (away(held[i], ones[i]) >= FIT_TOGETHER) & (away(held[other], ones[other]) >= FIT_TOGETHER)
+            tells[other[hit]] = True
+            tells[i] |= hit.any()
+    return tells
+
+
+def _pair_features(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """The features that enter a fit by a pair, from PAIR_ROWS documents of each label; ``rows`` has what may stand in pairs."""
+    chosen = np.sort(np.concatenate([np.flatnonzero(labels == y)[:PAIR_ROWS] for y in (0, 1)]))
+    rows, labels = [rows[i] for i in chosen], labels[chosen]
+    if not rows:
+        return np.empty(0, np.int64)
+    found, counts = np.unique(np.concatenate(rows), return_counts=True)
+    # what fewer documents have, no pair of it is by FIT_TOGETHER more frequent with either label
+    sides = sorted([labels.sum(), len(labels) - labels.sum()])
+    tried = found[counts >= max(FIT_LEAST, FIT_TOGETHER**2 * sides[0] / max(1.0, sides[1]))]
     if not len(tried):
         return tried
-    slot = np.full(number, -1)
-    slot[tried] = np.arange(len(tried))
-    both = np.zeros((2, len(tried), len(tried)), np.float32)
-    for label in (0, 1):
-        docs = np.flatnonzero(labels == label)
-        for k in range(0, len(docs), 1024):
-            x = np.zeros((len(docs[k : k + 1024]), len(tried)), np.float32)
-            for i, d in enumerate(docs[k : k + 1024]):
-                at = slot[place[ends[d - 1] if d else 0 : ends[d]]]
-                x[i, at[at >= 0]] = 1
-            both[label] += x.T @ x
-    tells = np.zeros(len(tried), bool)
-    for i in range(len(tried)):
-        ones, counts = both[1, i].astype(float), both[0, i].astype(float) + both[1, i]
-        away = association(ones, counts, labels)
-        away[i] = 0
-        tells[i] = ((counts >= FIT_LEAST) & (away >= FIT_TOGETHER)).any()
-    return tried[tells]
-
-
-def fit_rows(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed: int = 1) -> Model:
-    """Fit by AdaGrad on the logistic loss; ``rows`` are hashed features, each once in a row."""
+
+    def places(row: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(tried, row), len(tried) - 1)
+        return at[tried[at] == row]
+
+    return tried[telling_together([places(row) for row in rows], labels, len(tried))]
+
+
+def fit_rows(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed: int = 1, pairable: Callable[[np.ndarray], np.ndarray] | None = None) -> Model:
+    """Fit by AdaGrad on the logistic loss; ``rows`` are hashed features, each once in a row, in order. ``pairable`` tells those
+    that may enter by a pair; without it all may."""
     every = np.concatenate(rows) if rows else np.empty(0, np.int64)
     found, place, counts = np.unique(every, return_inverse=True, return_counts=True)
     ones = np.bincount(place, weights=np.repeat(labels, [len(r) for r in rows]), minlength=len(found))
     away = association(ones, counts, labels)
+    pairs = _pair_features([r[pairable(r)] for r in rows] if pairable else rows, labels)[:FIT_FEATURES]
     ends = np.cumsum([len(r) for r in rows], dtype=np.int64)
-    # what is in fewer documents than this is not by FIT_TOGETHER more frequent with either label, in any pair
-    sides = sorted([labels.sum(), len(labels) - labels.sum()])
-    weak = np.flatnonzero((away < FIT_ASSOCIATION) & (counts >= max(FIT_LEAST, FIT_TOGETHER**2 * sides[0] / max(1.0, sides[1]))))
-    weak = weak[np.argsort(-counts[weak], kind="stable")[:PAIR_FEATURES]]
-    pairs = telling_together(place, ends, labels, weak, len(found))
     most = np.argsort(-away, kind="stable")[: FIT_FEATURES - len(pairs)]
-    features = np.sort(found[np.union1d(most[(counts[most] >= FIT_LEAST) & (away[most] >= FIT_ASSOCIATION)], pairs)])
+    features = np.union1d(found[most[(counts[most] >= FIT_LEAST) & (away[most] >= FIT_ASSOCIATION)]], pairs).astype(np.int64)
     del found, place
     at = np.minimum(np.searchsorted(features, every), max(0, len(features) - 1))
     hit = features[at] == every if len(features) else np.zeros(len(every), bool)
@@ -285,14 +325,14 @@ def _extract(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held.append((places, structure_features(text, tokens, known)))
         terms.settle()
         features = [np.unique(np.concatenate([terms.gather(p), np.array(s, np.int64)])).astype(np.int32).tobytes() for p, s in held]
-        yield batch[["key", "label", "weight"]].assign(features=features)
+        yield batch[["key", "label", "weight", "order"]].assign(features=features)
 
 
 def _fit(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sample = pd.concat([*batches, pd.DataFrame({"key": [], "label": [], "weight": [], "features": []})])
     sample = sample.sort_values(["key", "label", "features"], kind="stable")
     rows = [np.frombuffer(f, np.int32).astype(np.int64) for f in sample["features"]]
-    model = fit_rows(rows, sample["label"].to_numpy(float), sample["weight"].to_numpy(float))
+    model = fit_rows(rows, sample["label"].to_numpy(float), sample["weight"].to_numpy(float), pairable=lambda features: features % 2 == 0)
     yield pd.DataFrame({"model": [model.to_bytes()]})
 
 
@@ -312,7 +352,11 @@ class Classifier:
         return kept(self.name, lambda: Model.from_bytes(self.sent.value))
 
     def score(self, text: Column, metadata: Column | None = None) -> Column:
-        """``double``: the probability of label 1; null texts count as empty."""
+        """``double``: the probability of label 1.
+
+        Null texts count as empty, and null metadata is left out. Each row stands for itself, equal ones score alike, and no
+        rows give none. A text is read whole, however long. Names of columns play no part.
+        """
 
         @F.pandas_udf("double")
         def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -327,12 +371,14 @@ class Classifier:
 def fit(docs: DataFrame, labels: DataFrame, label: str, *, doc_id: str = "doc_id", text: str = "text", metadata: str | None = None, rows: int = FIT_ROWS) -> Classifier:
     """Fit on the labelled documents that are not held out, ``rows`` of each class at most.
 
-    Labels other than 0 and 1, and labels of documents that are not there, are passed over. Without labelled documents
-    the model is a constant. Repeated ids are documents of their own. Other columns are not read.
+    Labels other than 0 and 1, and labels of documents that are not there, are passed over; an id with several labels has
+    the least. Of rows of equal id, one with the least hash of its text is taken, so that the sample stays bounded. Ties
+    between ids are decided by the ids. Without labelled documents the model is a constant. A null text is empty, a long
+    one is read whole, null metadata is left out. Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
     ship(spark)
-    known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).where(~is_held_out(F.col("id")) & F.col("label").isin(0, 1))
+    known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).where(~is_held_out(F.col("id")) & F.col("label").isin(0, 1)).groupBy("id").agg(F.min("label").alias("label"))
     known = known.join(docs.select(F.col(doc_id).alias("id")), "id", "left_semi").withColumn("key", F.xxhash64(F.lit(17), "id"))
     chosen = None
     for value, n in sorted((r["label"], r["count"]) for r in known.groupBy("label").count().collect()):
@@ -342,9 +388,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, *, doc_id: str = "doc_id
         chosen = known.withColumn("weight", F.lit(1.0))
     meta = F.lit(None).cast("double") if metadata is None else F.col(metadata).cast("double")
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), meta.alias("known"))
-    sample = texts.join(F.broadcast(chosen), "id").select("key", "label", "weight", "text", "known")  # 2 * rows ids at most
-    features = sample.mapInPandas(_extract, "key long, label int, weight double, features binary")
-    return Classifier(spark, features.repartition(1).mapInPandas(_fit, "model binary").first()["model"])
+    sample = texts.join(F.broadcast(chosen), "id").withColumn("order", F.xxhash64("text", "known"))  # 2 * rows ids at most
+    features = sample.select("key", "label", "weight", "order", "text", "known").mapInPandas(_extract, "key long, label int, weight double, order long, features binary")
+    once = features.groupBy("key").agg(F.min(F.struct("order", "features", "label", "weight")).alias("f")).select("key", "f.label", "f.weight", "f.features")
+    return Classifier(spark, once.repartition(1).mapInPandas(_fit, "model binary").first()["model"])
 
 
 def _classify(spark: SparkSession, sf_dir: str, label: str, threshold: float, metadata: str | None) -> DataFrame:
@@ -356,10 +403,12 @@ def _classify(spark: SparkSession, sf_dir: str, label: str, threshold: float, me
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of every document for quality; odd rows as in :func:`fit` and :meth:`Classifier.score`."""
     return _classify(spark, sf_dir, "quality", 0.3, "n_chars")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of every document for toxicity; odd rows as in :func:`fit` and :meth:`Classifier.score`."""
     return _classify(spark, sf_dir, "toxic", 0.5, None)
 
 
