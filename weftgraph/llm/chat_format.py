@@ -77,17 +77,17 @@ def rotate_perspectives(turns: DataFrame, *, conversation: str = "conv_id", turn
     # places in the order of all conversations, found by ranges, which also cut a conversation that holds much of the table
     placed = cut(numbered(said, "conv_id", "turn", "role", "text"))
     context = F.col("role").isin(*CONTEXT_ROLES)
-    first = placed.groupBy("conv_id").agg(F.min("number").alias("first"), F.min(F.when(context, F.col("number"))).alias("scene"))
-    scenes = placed.where(context).join(first.select("scene"), F.col("number") == F.col("scene")).select(F.col("scene").alias("at"), F.struct("role", "text").alias("scene_said"))
-    known = first.join(scenes, F.col("scene") == F.col("at"), "left").select(F.col("conv_id").alias("of"), "first", "scene", "scene_said")
+    first = placed.groupBy(F.col("conv_id").alias("of")).agg(F.min("number").alias("first"))
+    scenes = placed.where(context).groupBy(F.col("conv_id").alias("scene_of")).agg(F.min(F.struct("number", "role", "text")).alias("scene"))
+    known = first.join(scenes, F.col("of").eqNullSafe(F.col("scene_of")), "left").select("of", "first", "scene")
     at = placed.join(known.select("of", "first"), F.col("conv_id").eqNullSafe(F.col("of"))).withColumn("part", F.floor((F.col("number") - F.col("first")) / PART).cast("long"))
     parts = at.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("number", "role", "text"))).alias("turns"))
     speakers = placed.where(~context).select("conv_id", F.col("role").alias("perspective")).distinct()
     speakers = speakers.join(known, F.col("conv_id").eqNullSafe(F.col("of"))).drop("conv_id")
     views = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("of"))).withColumn("segments", _segments(F.col("turns"), F.col("perspective")))
     whole = lambda segments: F.concat_ws("", F.transform(segments, lambda s: F.concat(s["head"], s["body"], F.lit("\n"))))
-    elsewhere = F.col("scene") < F.col("turns")[0]["number"]
-    scene = F.when(elsewhere, whole(_segments(F.array("scene_said"), F.col("perspective")))).otherwise(F.lit(""))
+    elsewhere = F.col("scene.number") < F.col("turns")[0]["number"]
+    scene = F.when(elsewhere, whole(_segments(F.array("scene"), F.col("perspective")))).otherwise(F.lit(""))
     return views.select("conv_id", "perspective", "part", F.size("turns").cast("long").alias("n_turns"), scene.alias("context"), whole(F.col("segments")).alias("text"), _spans(F.col("segments")).alias("spans"))
 
 
