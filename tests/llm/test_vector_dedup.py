@@ -69,13 +69,24 @@ def test_a_hot_list_is_searched_in_blocks(spark, monkeypatch):
     assert sum(r[1] for r in got) >= 0.99 * sum(r[1] for r in want) and all(a[1] <= b[1] for a, b in zip(got, want))
 
 
-def test_recall_on_many(spark):
-    d = SF.replace("sf0.001", "sf0.1")
-    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()]
-    x = np.array([e for _, e in rows], float)
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    want = int((x @ x.T >= 0.9).sum()) - len(x)
-    assert sum(r["n_links"] for r in vector_dedup.op3_vector_dedup(spark, d).collect()) >= 0.9 * want
+def test_cosines_at_the_threshold(spark):
+    """10 * 9 / (10 * 10) is the threshold's own double; vectors of length 1 would not always say so."""
+    rows = [(1, [10.0, 0.0, 0.0, 0.0]), (2, [9.0, 3.0, 3.0, 1.0]), (3, [20.0, 0.0, 0.0, 0.0]), (4, [8.999999, 3.0, 3.0, 1.0]), (5, [2.0**100 * x for x in (9.0, 3.0, 3.0, 1.0)])]
+    got = {r[0]: r[1] for r in found(spark, rows)}
+    assert got == {1: 3, 2: 4, 3: 3, 4: 2, 5: 4}
+
+
+def test_recall_among_the_vectors_of_the_table(spark):
+    """The table has no link of its own, so near copies of a fifth of its vectors are added."""
+    x = np.array([r["embedding"] for r in spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.1')}/embeddings.parquet").collect()], float)
+    rng = np.random.default_rng(7)
+    some = x[rng.integers(0, len(x), 400)]
+    x = np.float32(np.concatenate([x, some + rng.normal(size=some.shape) * np.abs(some).mean() * 0.4])).astype(float)
+    want = pairs(x)
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: r["n_links"] for r in vector_dedup.near_duplicate_vectors(rows).collect()}
+    got = np.array([got[i] for i in range(len(x))])
+    assert want.sum() > 400 and (got <= want).all() and got.sum() >= 0.95 * want.sum()
 
 
 def test_null_ids(spark):

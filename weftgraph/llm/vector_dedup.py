@@ -28,8 +28,9 @@ from weftgraph.plans.unionfind import min_labels
 SIMILAR = 0.9
 #: Pivots that a vector names.
 NEAREST = 12
-#: Pivots before thinning: about twice the square root of the number of vectors, within these bounds.
-FEWEST_PIVOTS, MOST_PIVOTS = 32, 4096
+#: Pivots before thinning: about twice the square root of the number of vectors, within these bounds. They are held on the driver and
+#: broadcast, 32 MB of 64 dimensions at most; a billion vectors have as many.
+FEWEST_PIVOTS, MOST_PIVOTS = 32, 65536
 #: Vectors of a block of a list.
 BLOCK = 2048
 #: Pairs that are looked at one by one at a time.
@@ -93,8 +94,11 @@ def _search(threshold: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def search(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
         pivot, one, other = key
         members = members.sort_values(["rep", "k1", "k2"], kind="stable").reset_index(drop=True)
-        x, n = unit(members["embedding"]), members["n"].to_numpy(np.int64)
-        short, named = x.astype(np.float32), np.array(members["pivots"].tolist(), np.int64)
+        n = members["n"].to_numpy(np.int64)
+        raw = np.array(list(members["embedding"]), np.float64)
+        raw = np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1, keepdims=True))[1])  # exact, and no square overflows
+        length = np.sqrt(np.einsum("ij,ij->i", raw, raw))
+        short, named = (raw / length[:, None]).astype(np.float32), np.array(members["pivots"].tolist(), np.int64)
         home = named[:, 0]
         links = np.zeros(len(members), np.int64)
         ends: list[np.ndarray] = [np.empty((0, 2), np.int64)]
@@ -114,7 +118,7 @@ def _search(threshold: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
                     out = wrong(left[i], right[j])
                     hit[i[out], j[out]] = False
 
-            drop(hit & (cosines < threshold + UNSURE), lambda i, j: np.einsum("ij,ij->i", x[i], x[j]) < threshold)
+            drop(hit & (cosines < threshold + UNSURE), lambda i, j: np.einsum("ij,ij->i", raw[i], raw[j]) / (length[i] * length[j]) < threshold)
             at_home = home[left][:, None] == home[right]
             hit &= ~at_home | (home[left] == pivot)[:, None]
             drop(hit & ~at_home, lambda i, j: _met_before(pivot, named[i], named[j]))
@@ -190,7 +194,11 @@ def near_duplicate_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedd
     Vectors link if their cosine, in double precision, is ``threshold`` or more. Null, empty and zero vectors and those
     with null or non-finite entries link with nothing, nor do vectors of different dimensions or with a null id.
     Equal vectors are copies and link with each other; each row counts as a vector of its own in ``n_links``. Rows
-    of equal id share a component. Other columns are neither read nor returned.
+    of equal id share a component. An empty table gives no rows. Other columns are neither read nor returned.
+
+    All rows are indexed and looked up; a pair of which the vectors share none of their NEAREST pivots is not found. Recall
+    against brute force, as the tests hold it: 0.99 of the links of 20,000 vectors, a third of them near copies of one, 0.98
+    of those of groups of 2 to 7 among 5,000 others; 1.0 of both when measured.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -241,4 +249,5 @@ def near_duplicate_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedd
 
 
 def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vec_id, n_links, component_id, kept`` of every vector; odd rows as in :func:`near_duplicate_vectors`."""
     return near_duplicate_vectors(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
