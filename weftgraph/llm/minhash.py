@@ -196,27 +196,39 @@ def _explode(bands: Column) -> Column:
 
 def _verify(threshold: float):
     def verify(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: dict[str, tuple] = {}  # pairs of one text stand together
-
-        def shingles(side: str, name: int, text: str) -> tuple[np.ndarray, np.ndarray]:
-            if last.get(side, (None, None, None))[:2] != (name, text):
-                last[side] = (name, text, weighted(split_words(text)))
-            return last[side][2]
-
+        """Rows of a block follow each other, its first text before the others, of which one is held at a time."""
+        key, firsts, found = None, [], ([], [])
         for batch in batches:
-            same = [similarity(shingles("a", a, ta), shingles("b", b, tb)) for a, b, ta, tb in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"])]
-            yield batch[["a", "b"]][np.array(same, float) >= threshold]
+            for a, salt, role, rep, text in zip(*(batch[c].to_numpy() for c in ("a", "salt", "role", "rep", "text"))):
+                if (a, salt) != key:
+                    key, firsts = (a, salt), []
+                if role == 0:
+                    firsts.append(weighted(split_words(text)))
+                    continue
+                other = weighted(split_words(text))
+                if any(similarity(first, other) >= threshold for first in firsts):
+                    found[0].append(a)
+                    found[1].append(rep)
+            yield pd.DataFrame({"a": np.array(found[0], np.int64), "b": np.array(found[1], np.int64)})
+            found = ([], [])
 
     return verify
 
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Those of the pairs ``a, b`` whose texts are similar. Only texts that stand in a pair are moved to it."""
+    """Those of the different pairs ``a, b`` whose texts are similar. Only texts that stand in a pair are moved to it.
+
+    The partners of one ``a`` are dealt out to blocks of about BLOCK, so that no task gets all those of a frequent one; its
+    own text is moved once to each block, not to each pair.
+    """
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    texts = cut(docs.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi"))
-    left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    both = pairs.join(right, "b").join(left, "a")
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(_verify(threshold), "a long, b long").distinct()
+    texts = cut(docs.join(wanted, F.col("doc_id") == F.col("rep"), "left_semi")).select(F.col("doc_id").alias("rep"), "text")
+    sizes = cut(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
+    dealt = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64(F.lit(3), "b"), F.col("blocks")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("b").alias("rep"))
+    firsts = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("rep"))
+    placed = dealt.unionByName(firsts).join(texts, "rep").select("a", "salt", "role", "rep", "text")
+    grouped = placed.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "rep")
+    return grouped.mapInPandas(_verify(threshold), "a long, b long").distinct()
 
 
 def _compare(threshold: float):
@@ -300,7 +312,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     fewer words is one shingle. ``class_id`` is the least id that links reach, ``kept`` whether the document is the one
     of that id. Texts of equal words are copies, of the same class; texts without words, null ones included, are
     copies of none. Rows of equal id are one vertex, so they share a class, and are all kept or none. A null id
-    is its own class, null, and kept. Other columns are neither read nor returned.
+    is its own class, null, and kept. Ties are decided by ids. A very long text is shingled whole, and an empty table gives
+    no rows. Other columns are neither read nor returned.
     """
     ship(docs.sparkSession)
     every = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -340,4 +353,5 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thr
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, class_id, kept`` of every document; odd rows as in :func:`near_duplicates`."""
     return near_duplicates(spread(read(spark, sf_dir, "documents").select("doc_id", "text")))
