@@ -151,7 +151,7 @@ def test_the_first_of_many_keys(spark, monkeypatch):
     assert [generators._cutoff(rows, "k", m, 100_003) for m in (1, 700, len(keys))] == [keys[0], keys[699], keys[-1]]
 
 
-@pytest.mark.parametrize("flags", [["-single"], ["-contraction", "-strategy", "exponential", "-fixed-seq", "0", "-bfs"], ["-local", "-strategy", "sequential"], ["-replicate", "-hd-thres", "0.5"], ["-seq", "0.5", "-strategy", "local_contraction"], ["-strategy", "shortcut", "-heavy-hitters", "4", "-direct"]])
+@pytest.mark.parametrize("flags", [["-single"], ["-contraction", "-strategy", "exponential", "-fixed-seq", "0", "-bfs", "-beta", "1"], ["-local", "-strategy", "sequential"], ["-replicate", "-hd-thres", "0.5"], ["-seq", "0.5", "-strategy", "local_contraction"], ["-strategy", "shortcut", "-heavy-hitters", "4", "-direct"]])
 def test_cli_modes(spark, tmp_path, flags):
     path = file(tmp_path, "6 5\n3\n3\n1 2\n5 6\n4\n4\n")
     cli.main(["-input", "file", "-path", path, "-parts", "3", "-out", str(tmp_path / "labels"), *flags], spark)

@@ -6,6 +6,7 @@ a conversation in a row; ``copies``, documents of equal text. Where vertices are
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -280,6 +281,7 @@ def queries() -> dict[str, Query]:
         "gen_rhg": lambda s, d: generators.rhg(s, 2000).edges,
         "gen_ba": lambda s, d: generators.ba(s, 5000, 4).edges,
         "gen_rdg": lambda s, d: generators.rdg(s, 2000).edges,
+        "gen_rdg_small": lambda s, d: generators.rdg(s, 60).edges,
         "gen_rdg_3d": lambda s, d: generators.rdg(s, 1000, 3).edges,
     }
 
@@ -359,6 +361,36 @@ def _rgg_sql(n: int, r: float, dimensions: int) -> str:
     return f"WITH v0 AS (SELECT range AS v FROM range({n})), {_mixed_ctes('v0', dimensions)}, near AS MATERIALIZED ({near}) {_both_ways('SELECT * FROM near')}"
 
 
+def _rhg_sql(n: int, gamma: float = 2.8, degree: float = 8) -> str:
+    alpha = (gamma - 1) / 2
+    radius = 2 * math.log(2 * n * (alpha / (alpha - 0.5)) ** 2 / (math.pi * degree))
+    points = f"SELECT v, least(acosh(1+x1/2147483647e0*{math.cosh(alpha * radius) - 1!r}::DOUBLE)/{alpha!r}::DOUBLE, {radius!r}::DOUBLE) AS r, x2/2147483647e0*{2 * math.pi!r}::DOUBLE AS t FROM m2"
+    near = f"SELECT a.v AS src, b.v AS dst FROM p a JOIN p b ON a.v<b.v WHERE cosh(a.r)*cosh(b.r)-sinh(a.r)*sinh(b.r)*cos(a.t-b.t)<={math.cosh(radius)!r}::DOUBLE"
+    return f"WITH v0 AS (SELECT range AS v FROM range({n})), {_mixed_ctes('v0', 3)}, p AS MATERIALIZED ({points}), near AS MATERIALIZED ({near}) {_both_ways('SELECT * FROM near')}"
+
+
+def _ba_sql(n: int, d: int, seed: int = 1) -> str:
+    big = "18446744073709551616::UHUGEINT"
+    scramble = lambda x, places, factor: f"(xor({x}, {x}//{1 << places}::UHUGEINT)*{factor}::UHUGEINT)%{big}"
+    ends = f"e//{d}, s//2//{d}"
+    return f"""WITH RECURSIVE c(e,s) AS (SELECT range, 2*range+1 FROM range({n * d}) UNION ALL
+  SELECT e, CAST(xor(x2, x2//{1 << 31}::UHUGEINT)%s::UHUGEINT AS BIGINT) FROM (SELECT *, {scramble('x1', 27, 0x94D049BB133111EB)} AS x2 FROM (SELECT *, {scramble('x0', 30, 0xBF58476D1CE4E5B9)} AS x1 FROM (
+    SELECT e, s, (s::UHUGEINT+{seed * 0x9E3779B97F4A7C15 % (1 << 64)}::UHUGEINT)%{big} AS x0 FROM c WHERE s%2=1)))),
+k AS MATERIALIZED (SELECT DISTINCT least({ends}) AS src, greatest({ends}) AS dst FROM c WHERE s%2=0 AND e//{d}<>s//2//{d}) {_both_ways('SELECT * FROM k')}"""
+
+
+def _delaunay_sql(n: int) -> str:
+    """Edges of the triangles whose circles hold no other point."""
+    points = "SELECT v, x0/2147483647e0 AS x, x1/2147483647e0 AS y FROM m1"
+    row = lambda p: (f"({p}.x-d.x)", f"({p}.y-d.y)", f"(({p}.x-d.x)*({p}.x-d.x)+({p}.y-d.y)*({p}.y-d.y))")
+    (ax, ay, az), (bx, by, bz), (cx, cy, cz) = map(row, "abc")
+    inside = f"({ax}*({by}*{cz}-{bz}*{cy})-{ay}*({bx}*{cz}-{bz}*{cx})+{az}*({bx}*{cy}-{by}*{cx}))*((b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x))>0"
+    held = f"SELECT DISTINCT a.v AS a, b.v AS b, c.v AS c FROM p a JOIN p b ON a.v<b.v JOIN p c ON b.v<c.v JOIN p d ON d.v NOT IN (a.v, b.v, c.v) WHERE {inside}"
+    free = "SELECT a.v AS a, b.v AS b, c.v AS c FROM p a JOIN p b ON a.v<b.v JOIN p c ON b.v<c.v EXCEPT SELECT a, b, c FROM held"
+    edges = "SELECT a AS src, b AS dst FROM free UNION SELECT b, c FROM free UNION SELECT a, c FROM free"
+    return f"WITH v0 AS (SELECT range AS v FROM range({n})), {_mixed_ctes('v0', 2)}, p AS MATERIALIZED ({points}), held AS MATERIALIZED ({held}), free AS MATERIALIZED ({free}), k AS MATERIALIZED ({edges}) {_both_ways('SELECT * FROM k')}"
+
+
 def oracle_sql() -> dict[str, str]:
     cc = lambda g, body: _sql(g, body, _CC, recursive=True)
     local = lambda g, body, *more: _sql(g, body, _LOCAL, *more, recursive=True)
@@ -457,6 +489,9 @@ def oracle_sql() -> dict[str, str]:
         "gen_grid_2d_thinned": f"WITH g AS (SELECT range AS v FROM range(2400)), e AS (SELECT v AS src, v+1 AS dst FROM g WHERE v%40<39 UNION ALL SELECT v, v+40 FROM g WHERE v<2360), k AS (SELECT * FROM e WHERE {_hashed_sql('src', 'dst', SEED)}<{int(0.7 * 2147483647)}) {_both_ways('SELECT * FROM k')}",
         "gen_grid_2d_periodic": "WITH g AS (SELECT range AS v FROM range(2400)), e AS (SELECT v AS src, v//40*40+(v+1)%40 AS dst FROM g UNION ALL SELECT v, (v+40)%2400 FROM g) SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e",
         "gen_rgg": _rgg_sql(2000, 0.03, 2),
+        "gen_rhg": _rhg_sql(2000),
+        "gen_ba": _ba_sql(5000, 4),
+        "gen_rdg_small": _delaunay_sql(60),
         "gen_rgg_3d": _rgg_sql(2000, 0.08, 3),
         "gen_gnm": f"WITH v0 AS (SELECT range AS v FROM range({int(1.2 * 20000) + 64})), {_mixed_ctes('v0', 2)}, k AS MATERIALIZED (SELECT least(x0%5000,x1%5000) AS src, greatest(x0%5000,x1%5000) AS dst, min(v) AS i FROM m1 WHERE x0%5000<>x1%5000 GROUP BY 1,2 ORDER BY i LIMIT 20000) {_both_ways('SELECT src, dst FROM k')}",
     }
