@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.random import MODULUS, hashed
-from weftgraph.plans.lineage import Shelf
+from weftgraph.plans.lineage import Shelf, cut
 
 
 def rebase(edges: DataFrame, by: int = 1) -> DataFrame:
@@ -98,6 +98,7 @@ def breadth_first(both: DataFrame, start: Column | int, most: int | None = None)
 
     What a front reaches and is not in it or in the front before is new, so the others that were reached are not read again.
     """
+    both = cut(both)
     shelf = Shelf(both.sparkSession, "v long, distance long")
     found = shelf.add(both.select(F.col("src").alias("v")).where(F.col("v") == start).distinct().withColumn("distance", F.lit(0).cast("long")))
     step = 0

@@ -20,7 +20,7 @@ from weftgraph.operators import labels as L
 from weftgraph.operators import partitions as P
 from weftgraph.plans import connectivity as K
 from weftgraph.plans.connectivity import Graph, component_labels, symmetric
-from weftgraph.plans.lineage import shared_folder
+from weftgraph.plans.lineage import cut, shared_folder
 from weftgraph.sources import generators, readers, writers
 
 PARTS = 4
@@ -124,7 +124,7 @@ def _starts(graph: Graph, n: int) -> DataFrame:
 def _clusters(spark: SparkSession, d: str) -> tuple[Graph, DataFrame, DataFrame, int]:
     graph = customers(spark, d)
     n = graph.vertices.count()
-    both = _both(graph)
+    both = cut(_both(graph))
     return graph, both, K.exponential_clusters(both, graph.vertices, BETA, SEED, n), n
 
 
@@ -394,7 +394,7 @@ def _delaunay_sql(n: int) -> str:
 def oracle_sql() -> dict[str, str]:
     cc = lambda g, body: _sql(g, body, _CC, recursive=True)
     local = lambda g, body, *more: _sql(g, body, _LOCAL, *more, recursive=True)
-    cut = f"{_PE('src')}<>{_PE('dst')}"
+    crossing = f"{_PE('src')}<>{_PE('dst')}"
     labels = "SELECT v, label FROM cc"
     asked = "SELECT o_orderkey*2 AS a, o_custkey*2+1 AS b FROM orders"
     step = "ms AS (SELECT vs.v, least(vs.v, coalesce(min(b.src), vs.v)) AS label FROM vs LEFT JOIN b ON b.dst=vs.v GROUP BY vs.v)"
@@ -407,7 +407,7 @@ def oracle_sql() -> dict[str, str]:
     hop0 = f"h0 AS (SELECT v, (((({s})*16807)%2147483647)*16807)%2147483647%100 AS d, v AS l FROM vs)"
     hop = lambda a, z: f"{z} AS (SELECT v, arg_min(d, (d,l)) AS d, arg_min(l, (d,l)) AS l FROM (SELECT v,d,l FROM {a} UNION ALL SELECT b.dst, {a}.d, {a}.l FROM b JOIN {a} ON b.src={a}.v) GROUP BY v)"
     stats = f"""ps AS (SELECT {_PE('vs.v')} AS pe, count(*) AS n, CAST(coalesce(sum(m),0) AS BIGINT) AS m, CAST(coalesce(sum(c),0) AS BIGINT) AS cut, coalesce(max(m),0) AS max_degree
-  FROM vs LEFT JOIN (SELECT src, count(*) AS m, count(*) FILTER (WHERE {cut}) AS c FROM b GROUP BY src) x ON x.src=vs.v GROUP BY 1)"""
+  FROM vs LEFT JOIN (SELECT src, count(*) AS m, count(*) FILTER (WHERE {crossing}) AS c FROM b GROUP BY src) x ON x.src=vs.v GROUP BY 1)"""
     grid = "WITH g AS (SELECT range AS v FROM range(2400)), e AS (SELECT v AS src, v+1 AS dst FROM g WHERE v%40<39 UNION ALL SELECT v, v+40 FROM g WHERE v<2360) SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e"
     out = {
         "cc_default": cc("parts", labels),
@@ -449,29 +449,29 @@ def oracle_sql() -> dict[str, str]:
         "remove_edges": _sql("parts", "SELECT src, dst FROM e WHERE (src,dst) NOT IN (SELECT (l_orderkey*2, l_partkey*2+1) FROM lineitem WHERE l_returnflag='R')"),
         "bfs_reach": _sql("parts", "SELECT v, distance FROM bf", """bf(v,distance) USING KEY (v) AS (SELECT DISTINCT src, CAST(0 AS BIGINT) FROM b WHERE src=0
   UNION SELECT b.dst, min(bf.distance)+1 FROM bf JOIN b ON bf.v=b.src LEFT JOIN recurring.bf r ON r.v=b.dst WHERE r.v IS NULL GROUP BY b.dst)""", recursive=True),
-        "ghost_vertices": _sql("parts", f"SELECT DISTINCT {_PE('src')} AS pe, dst AS v, {_PE('dst')} AS owner FROM b WHERE {cut}"),
-        "cut_edges": _sql("parts", f"SELECT src, dst FROM b WHERE {cut}"),
-        "interface_vertices": _sql("turns", f"SELECT DISTINCT src AS v FROM b WHERE {cut}"),
-        "interior_vertices": _sql("customers", f"SELECT v FROM vs WHERE v NOT IN (SELECT src FROM b WHERE {cut})"),
-        "adjacent_partitions": _sql("parts", f"SELECT DISTINCT {_PE('src')} AS pe, {_PE('dst')} AS other FROM b WHERE {cut}"),
+        "ghost_vertices": _sql("parts", f"SELECT DISTINCT {_PE('src')} AS pe, dst AS v, {_PE('dst')} AS owner FROM b WHERE {crossing}"),
+        "cut_edges": _sql("parts", f"SELECT src, dst FROM b WHERE {crossing}"),
+        "interface_vertices": _sql("turns", f"SELECT DISTINCT src AS v FROM b WHERE {crossing}"),
+        "interior_vertices": _sql("customers", f"SELECT v FROM vs WHERE v NOT IN (SELECT src FROM b WHERE {crossing})"),
+        "adjacent_partitions": _sql("parts", f"SELECT DISTINCT {_PE('src')} AS pe, {_PE('dst')} AS other FROM b WHERE {crossing}"),
         "local_ids": _sql("parts", f"SELECT v, {_PE('v')} AS pe, row_number() OVER (PARTITION BY {_PE('v')} ORDER BY v)-1 AS local_id FROM vs"),
         "vertex_owner": _sql("parts", f"SELECT v, v // (SELECT CAST(ceil((max(v)+1)/{PARTS}.0) AS BIGINT) FROM vs) AS pe FROM vs"),
         "vertex_owner_equal": _sql("parts", f"SELECT v, v // (SELECT CAST(ceil((max(v)+1)/{PARTS}.0) AS BIGINT) FROM vs) AS pe FROM vs"),
-        "part_vertices": _sql("customers", f"SELECT {_PE('v')} AS pe, v, false AS ghost FROM vs UNION ALL SELECT DISTINCT {_PE('src')}, dst, true FROM b WHERE {cut}"),
+        "part_vertices": _sql("customers", f"SELECT {_PE('v')} AS pe, v, false AS ghost FROM vs UNION ALL SELECT DISTINCT {_PE('src')}, dst, true FROM b WHERE {crossing}"),
         "partition_stats": _sql("parts", "SELECT pe, n, m, cut, max_degree FROM ps", stats),
         "graph_params": _sql("parts", "SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(m)//2 AS BIGINT) AS m, min(cut) AS min_cut, max(cut) AS max_cut, max(max_degree) AS max_degree FROM ps", stats),
         "avg_max_degree": _sql("parts", f"SELECT CAST(sum(max_degree)//{PARTS} AS BIGINT) AS avg_max_degree FROM ps", stats),
         "partition_ranges": _sql("parts", f"""SELECT f.pe, f.a AS first_v, f.z AS last_v, min(b.dst) AS first_dst, max(b.dst) AS last_dst
   FROM (SELECT {_PE('src')} AS pe, min(src) AS a, max(src) AS z FROM b GROUP BY 1) f JOIN b ON b.src=f.a GROUP BY f.pe, f.a, f.z"""),
-        "comm_volume": _sql("parts", f"SELECT pe, other, count(*) AS messages FROM (SELECT DISTINCT {_PE('src')} AS pe, {_PE('dst')} AS other, src FROM b WHERE {cut}) GROUP BY pe, other"),
+        "comm_volume": _sql("parts", f"SELECT pe, other, count(*) AS messages FROM (SELECT DISTINCT {_PE('src')} AS pe, {_PE('dst')} AS other, src FROM b WHERE {crossing}) GROUP BY pe, other"),
         "local_component_labels": local("customers", "SELECT pe, v, label FROM loc"),
         "component_prefix_sum": local("customers", """SELECT pe, n_labels, CAST(coalesce(sum(n_labels) OVER (ORDER BY pe ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS BIGINT) AS "offset", CAST(sum(n_labels) OVER () AS BIGINT) AS total
   FROM (SELECT pe, count(DISTINCT label) AS n_labels FROM loc GROUP BY pe)"""),
         "cag": local("customers", "SELECT DISTINCT x.label AS src, y.label AS dst FROM b JOIN loc x ON b.src=x.v JOIN loc y ON b.dst=y.v WHERE x.label<>y.label"),
-        "local_contraction_graph": local("customers", "SELECT DISTINCT x.cv AS src, y.cv AS dst FROM b JOIN cm x ON b.src=x.v JOIN cm y ON b.dst=y.v WHERE x.cv<>y.cv", f"cm AS (SELECT v, CASE WHEN v IN (SELECT src FROM b WHERE {cut}) THEN v ELSE label END AS cv FROM loc)"),
-        "ghost_component_map": local("customers", f"SELECT DISTINCT {_PE('b.src')} AS pe, b.dst AS v, loc.label AS cv FROM b JOIN loc ON loc.v=b.dst WHERE {cut}"),
+        "local_contraction_graph": local("customers", "SELECT DISTINCT x.cv AS src, y.cv AS dst FROM b JOIN cm x ON b.src=x.v JOIN cm y ON b.dst=y.v WHERE x.cv<>y.cv", f"cm AS (SELECT v, CASE WHEN v IN (SELECT src FROM b WHERE {crossing}) THEN v ELSE label END AS cv FROM loc)"),
+        "ghost_component_map": local("customers", f"SELECT DISTINCT {_PE('b.src')} AS pe, b.dst AS v, loc.label AS cv FROM b JOIN loc ON loc.v=b.dst WHERE {crossing}"),
         "largest_interface_component": local("customers", f"""SELECT pe, other, cv, cnt FROM (SELECT *, row_number() OVER (PARTITION BY pe, other ORDER BY cnt DESC, cv) AS k FROM (
-  SELECT loc.pe, i.other, loc.label AS cv, count(*) AS cnt FROM (SELECT DISTINCT src, {_PE('dst')} AS other FROM b WHERE {cut}) i JOIN loc ON loc.v=i.src GROUP BY ALL)) WHERE k=1"""),
+  SELECT loc.pe, i.other, loc.label AS cv, count(*) AS cnt FROM (SELECT DISTINCT src, {_PE('dst')} AS other FROM b WHERE {crossing}) i JOIN loc ON loc.v=i.src GROUP BY ALL)) WHERE k=1"""),
         "min_label_step": _sql("parts", "SELECT v, label FROM ms", step),
         "pointer_jump": _sql("parts", "SELECT a.v, least(a.label, coalesce(r.label,a.label)) AS label FROM ms a LEFT JOIN ms r ON r.v=a.label", step),
         "start_times": _sql("parts", "SELECT v, start FROM st", starts.replace("{s}", str(SEED))),
