@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.runtime import fresh, kept, read, ship, spread
+from weftgraph.llm.runtime import fresh, kept, read, ship, spread, tidy
 
 #: Labelled documents of each class that a fit takes at most, those whose ids have the least hashes.
 FIT_ROWS = 6_000
@@ -39,7 +39,7 @@ FIT_ASSOCIATION = 4.0
 FIT_TOGETHER = 6.0
 #: Documents of each class of the fit in which pairs are counted, and counters and keys that are held at a time.
 PAIR_ROWS = 2_000
-COUNTERS, KEYS = 1 << 24, 1 << 22
+COUNTERS, KEYS = 1 << 22, 1 << 20
 #: Hashes are taken modulo this.
 BUCKETS = 1 << 24
 FACTORS = 8
@@ -266,11 +266,11 @@ def _pair_features(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
 def fit_rows(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed: int = 1, pairable: Callable[[np.ndarray], np.ndarray] | None = None) -> Model:
     """Fit by AdaGrad on the logistic loss; ``rows`` are hashed features, each once in a row, in order. ``pairable`` tells those
     that may enter by a pair; without it all may."""
+    pairs = _pair_features([r[pairable(r)] for r in rows] if pairable else rows, labels)[:FIT_FEATURES]
     every = np.concatenate(rows) if rows else np.empty(0, np.int64)
     found, place, counts = np.unique(every, return_inverse=True, return_counts=True)
     ones = np.bincount(place, weights=np.repeat(labels, [len(r) for r in rows]), minlength=len(found))
     away = association(ones, counts, labels)
-    pairs = _pair_features([r[pairable(r)] for r in rows] if pairable else rows, labels)[:FIT_FEATURES]
     ends = np.cumsum([len(r) for r in rows], dtype=np.int64)
     most = np.argsort(-away, kind="stable")[: FIT_FEATURES - len(pairs)]
     features = np.union1d(found[most[(counts[most] >= FIT_LEAST) & (away[most] >= FIT_ASSOCIATION)]], pairs).astype(np.int64)
@@ -331,9 +331,12 @@ def _extract(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _fit(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sample = pd.concat([*batches, pd.DataFrame({"key": [], "label": [], "weight": [], "features": []})])
     sample = sample.sort_values(["key", "label", "features"], kind="stable")
-    rows = [np.frombuffer(f, np.int32).astype(np.int64) for f in sample["features"]]
+    rows = [np.frombuffer(f, np.int32) for f in sample["features"]]  # hashes are below 2^24
     model = fit_rows(rows, sample["label"].to_numpy(float), sample["weight"].to_numpy(float), pairable=lambda features: features % 2 == 0)
-    yield pd.DataFrame({"model": [model.to_bytes()]})
+    made = pd.DataFrame({"model": [model.to_bytes()]})
+    del sample, rows, model
+    tidy()
+    yield made
 
 
 def is_held_out(doc_id: Column) -> Column:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.plans import lineage
 from weftgraph.plans.lineage import cut
 
-__all__ = ["NOT_SPACE", "SPACE", "cut", "fresh", "kept", "read", "ship", "spread", "words_of"]
+__all__ = ["NOT_SPACE", "SPACE", "cut", "fresh", "kept", "read", "ship", "spread", "tidy", "words_of"]
 
 #: The characters that separate words, as a class for Java's and Python's expressions.
 SPACE = r"[\x20\x09-\x0D]"
@@ -46,6 +50,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def tidy() -> None:
+    """Give what a worker has freed back to the machine; Arrow and the C library keep it else, and workers are used again."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems' libraries do without
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 _kept: dict[str, object] = {}
 
 
@@ -53,6 +65,7 @@ def kept(name: str, make: Callable[[], object]):
     """What a worker has made under this name. Workers serve one operator after another; what those before kept is dropped."""
     if name not in _kept:
         _kept.clear()
+        tidy()
         _kept[name] = make()
     return _kept[name]
 
