@@ -33,6 +33,8 @@ BROADCAST_SOURCES = 10_000
 #: Newton's steps at most. The bisection that guards them halves an interval of tilts every other step at least, so that doubles leave
 #: nothing to halve well before.
 MAX_STEPS = 200
+#: Steps that are planned together.
+STEPS = 3
 #: The tilt that stands for an infinite one.
 FULL = 1e30
 #: Relative distance from the target at which a source is solved.
@@ -43,17 +45,18 @@ def shared_targets(sources: DataFrame, total: float, most: float) -> DataFrame:
     """``sources`` (with ``words, weight``) with ``target``: in proportion to weights, none above ``most`` times its source's
     words, what is above shared anew among the others. Each round adds full sources and sums three numbers."""
     limit = most * F.col("words")
-    full = F.lit(False)
+    full, before = F.lit(False), 0
     while True:
         sums = sources.agg(F.sum(F.when(full, limit)).alias("taken"), F.sum(F.when(~full, F.col("weight"))).alias("open"), F.count_if(full).alias("n")).first()
         if not sums["open"]:
             return sources.withColumn("target", limit.cast("double"))
         share = F.col("weight") * F.lit((total - (sums["taken"] or 0.0)) / sums["open"])
-        over = sources.where(~full & (share > limit)).count()
-        if not over:
-            return sources.withColumn("target", F.when(full, limit).otherwise(F.greatest(F.lit(0.0), share)).cast("double"))
+        if before and sums["n"] == before:
+            return sources.withColumn("target", F.when(full, limit).otherwise(F.greatest(F.lit(0.0), F.least(share, limit))).cast("double"))
         # what is left for each weight grows from round to round, so that what was over stays so
-        full = share > limit
+        full, before = share > limit, sums["n"]
+        if not before and not sources.where(full).limit(1).count():
+            return sources.withColumn("target", F.greatest(F.lit(0.0), share).cast("double"))
 
 
 @dataclass(frozen=True)
@@ -74,14 +77,13 @@ def _rates(tilt: Column, z: Column, most: float) -> Column:
     return F.when(tilt >= FULL, F.lit(float(most))).when(tilt <= -FULL, F.lit(0.0)).otherwise(tilted)
 
 
-def solve_tilts(groups: DataFrame, sources: DataFrame, most: float) -> DataFrame:
+def solve_tilts(groups: DataFrame, sources: DataFrame, most: float, few: bool = False) -> DataFrame:
     """``sources`` with ``tilt``, for sizes in units of ``scale``; FULL where the target is all that the source can give.
 
     ``groups`` has ``place`` (of the source), ``size`` and ``n``; ``sources`` has ``place, words, scale, target``. Sums are taken
     of whole numbers, whose order does not matter, so that reruns find the same tilts. A source that is not solved after
-    MAX_STEPS is an error.
+    MAX_STEPS is an error. ``few`` says that the sources are known to be no more than BROADCAST_SOURCES.
     """
-    few = sources.count() <= BROADCAST_SOURCES
     words = F.col("n") * F.col("size")
     z = F.col("size") / F.col("scale")
     rate = _rates(F.col("tilt"), z, most)
@@ -89,9 +91,8 @@ def solve_tilts(groups: DataFrame, sources: DataFrame, most: float) -> DataFrame
     whole = lambda x, unit: F.sum(F.round(x * unit).cast("long")) / unit
     start = F.when(F.col("target") >= most * F.col("words") * (1 - 1e-9), F.lit(FULL)).when(F.col("target") <= 0, F.lit(-FULL)).otherwise(F.lit(0.0))
     state = cut(sources.withColumns({"tilt": start, "low": F.lit(-math.inf), "high": F.lit(math.inf)}).withColumn("solved", F.abs("tilt") == FULL))
-    for _ in range(MAX_STEPS):
-        if state.where(~F.col("solved")).isEmpty():
-            return state.drop("low", "high", "solved")
+
+    def stepped(state: DataFrame) -> DataFrame:
         trial = state.where(~F.col("solved")).select("place", "tilt", "scale")
         got = groups.join(F.broadcast(trial) if few else trial, "place").groupBy("place").agg(whole(rate * words, 1024).alias("got"), whole(slope, 64).alias("rise"))
         tilt, low, high, gap = F.col("tilt"), F.col("low"), F.col("high"), F.col("got") - F.col("target")
@@ -99,11 +100,19 @@ def solve_tilts(groups: DataFrame, sources: DataFrame, most: float) -> DataFrame
         inside = (low < step) & (step < high) & (F.abs(step - tilt) <= 4 + 4 * F.abs(tilt))
         unbounded = (low == -math.inf) | (high == math.inf)
         guarded = F.when(unbounded, tilt - F.signum(gap) * (1 + 3 * F.abs(tilt))).otherwise((low + high) / 2)
-        stepped = state.join(got, "place", "left")
-        stepped = stepped.withColumns({"high": F.when(gap > 0, tilt).otherwise(high), "low": F.when(gap <= 0, tilt).otherwise(low)})
-        ends = (F.abs(gap) <= NEAR * F.col("target")) | (high - low <= 1e-12 * F.abs(tilt))
-        over = F.col("solved") | ends
-        state = cut(stepped.select(*sources.columns, F.when(over, tilt).otherwise(F.when(inside, step).otherwise(guarded)).alias("tilt"), "low", "high", over.alias("solved")))
+        known = state.join(F.broadcast(got) if few else got, "place", "left")
+        known = known.withColumns({"high": F.when(gap > 0, tilt).otherwise(high), "low": F.when(gap <= 0, tilt).otherwise(low)})
+        over = F.col("solved") | (F.abs(gap) <= NEAR * F.col("target")) | (high - low <= 1e-12 * F.abs(tilt))
+        return known.select(*sources.columns, F.when(over, tilt).otherwise(F.when(inside, step).otherwise(guarded)).alias("tilt"), "low", "high", over.alias("solved"))
+
+    for _ in range(-(-MAX_STEPS // STEPS)):
+        if state.where(~F.col("solved")).isEmpty():
+            return state.drop("low", "high", "solved")
+        for _ in range(STEPS):
+            state = stepped(state)
+        state = cut(state)
+    if state.where(~F.col("solved")).isEmpty():
+        return state.drop("low", "high", "solved")
     raise RuntimeError(f"{state.where(~F.col('solved')).count()} sources are not solved after {MAX_STEPS} steps")
 
 
@@ -121,18 +130,18 @@ def mix(
     size, source_size, target, copies, place, bucket, key, at = fresh(docs, "size", "source_size", "target", "copies", "place", "bucket", "key", "at")
     sized = docs.withColumn(size, F.size(words_of(F.col(text))).cast("long"))
     counted = cut(sized.groupBy(F.col(source).alias("source"), F.col(size).alias("size")).agg(F.count(F.lit(1)).alias("n")))
-    sums = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("docs"))
-    named = numbered(sums.select(F.col("source").isNull().alias("last"), "source", "words", "docs"), "last", "source").withColumnRenamed("number", "place")
+    sums = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words"), F.sum("n").alias("docs"), F.max("n").alias("largest"))
+    named = numbered(sums.select(F.col("source").isNull().alias("last"), "source", "words", "docs", "largest"), "last", "source").withColumnRenamed("number", "place")
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("place") % len(weights)).cast("int") + 1)
     scale = F.greatest(F.lit(1.0), F.col("words") / F.greatest(F.lit(1), F.col("docs")))
-    named = cut(named.select("source", "place", "words", weight.alias("weight"), scale.alias("scale")))
-    facts = named.agg(F.count(F.lit(1)).alias("sources"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
-    largest = counted.agg(F.max("n")).first()[0] or 0
-    small = F.broadcast if facts["sources"] <= BROADCAST_SOURCES else (lambda df: df)
+    named = cut(named.select("source", "place", "words", "largest", weight.alias("weight"), scale.alias("scale")))
+    facts = named.agg(F.count(F.lit(1)).alias("sources"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.max("largest"), F.lit(0)).alias("largest")).first()
+    few = facts["sources"] <= BROADCAST_SOURCES
+    small = F.broadcast if few else (lambda df: df)
 
     places = named.select(F.col("source").alias("named"), "place")
     groups = cut(counted.join(small(places), F.col("source").eqNullSafe(F.col("named"))).select("place", "size", "n"))
-    solved = solve_tilts(groups, shared_targets(named.drop("source", "weight").join(named.select("place", "weight"), "place"), share * facts["words"], most), most)
+    solved = solve_tilts(groups, shared_targets(named.select("place", "words", "weight", "scale"), share * facts["words"], most), most, few)
 
     # running sums of rates: within blocks of sizes, then over the blocks
     rate = _rates(F.col("tilt"), F.col("size") / F.col("scale"), most)
@@ -155,7 +164,7 @@ def mix(
     plan = rated.join(best.select("place", ((F.col("best.k") + 0.5) / OFFSETS).alias("start")), "place")
 
     # documents of a source and size are ranked in buckets, so that no task ranks a large group of them
-    buckets = 1 << max(0, math.ceil(math.log2(max(1, largest / RANKED))))
+    buckets = 1 << max(0, math.ceil(math.log2(max(1, facts["largest"] / RANKED))))
     (name,) = fresh(sized, "named")
     known = sized.join(small(places.select(F.col("named").alias(name), F.col("place").alias(place))), F.col(source).eqNullSafe(F.col(name))).drop(name)
     known = known.withColumn(key, F.xxhash64(F.col(doc_id).cast("string"), F.col(text)))
