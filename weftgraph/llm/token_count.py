@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm.bpe import SLICE, Splitter
 from weftgraph.llm.runtime import kept, read, ship, spread
 
-#: Documents of whose texts the frequencies are taken, those whose texts have the least hashes.
+#: Documents of whose texts the frequencies are taken, those whose texts have the least hashes; of copies one.
 SAMPLE = 4_000
 #: Entries of the broadcast table at most, and characters of one: about 3 MB.
 FREQUENT, LONGEST = 32_768, 32
@@ -123,14 +123,17 @@ def _frequencies(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for text in batch["text"]:
             found.update(p for p in split(text) if len(p) <= LONGEST)
-    yield pd.DataFrame({"piece": list(found), "n": np.fromiter(found.values(), np.int64, len(found))})
+    if found:
+        yield pd.DataFrame({"piece": list(found), "n": np.fromiter(found.values(), np.int64, len(found))})
 
 
 def frequent_pieces(texts: DataFrame, sample: int = SAMPLE, most: int = FREQUENT) -> list[str]:
     """The ``most`` frequent pre-tokens of ``sample`` texts (column ``text``), the most frequent first, ties in order."""
     ship(texts.sparkSession)
-    some = texts.where("text is not null").orderBy(F.xxhash64("text")).limit(sample)
-    some = some.repartition(texts.sparkSession.sparkContext.defaultParallelism)  # a limit comes as one partition
+    hashed = texts.where("text is not null").select("text", F.xxhash64("text").alias("hash"))
+    last = hashed.select("hash").orderBy("hash").limit(sample).agg(F.max("hash")).first()[0]
+    some = hashed.where(F.col("hash") <= F.lit(last)).groupBy("hash").agg(F.first("text").alias("text"))  # copies count once
+    some = some.select("text").repartition(texts.sparkSession.sparkContext.defaultParallelism)
     counted = some.mapInPandas(_frequencies, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     return [r["piece"] for r in counted.orderBy(F.desc("n"), "piece").limit(most).collect()]
 
