@@ -48,9 +48,15 @@ def unit(vectors: Iterable) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _describe(pivots: dict[int, np.ndarray]) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _describe(pivots: dict[int, np.ndarray], threshold: float) -> Callable[[Iterable[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Adds to each vector the numbers of its nearest pivots. Those of another dimension than any pivot name one number
-    that stands for the dimension."""
+    that stands for the dimension.
+
+    Of the NEAREST, those that are farther than the first by more than twice the linking angle are left out, and no pair is
+    lost by that: the home of whatever links with a vector is no farther from it than that, so it is named before them, and
+    the two meet there. So a vector close to its pivot is in few lists.
+    """
+    reach = 2 * math.acos(threshold) + 1e-6
     base, first = {}, 0
     for size in sorted(pivots):
         base[size] = first
@@ -68,14 +74,24 @@ def _describe(pivots: dict[int, np.ndarray]) -> Callable[[Iterable[pd.DataFrame]
                     continue
                 near = unit(batch["embedding"].iloc[at]) @ pivots[size].T
                 k = min(NEAREST, near.shape[1])
-                order = np.argsort(-near, axis=1, kind="stable")[:, :k] + base[size]
-                for i, numbers in zip(at, order):
-                    named[i] = numbers.astype(np.int32)
+                order = np.argsort(-near, axis=1, kind="stable")[:, :k]
+                angle = np.arccos(np.clip(np.take_along_axis(near, order, axis=1), -1, 1))
+                for i, numbers, within in zip(at, order + base[size], angle <= angle[:, :1] + reach):
+                    named[i] = numbers[within].astype(np.int32)
             yield batch.assign(pivots=named)
 
     return describe
 
 
+def _rectangular(rows: Iterable) -> np.ndarray:
+    """Lists of numbers as rows of one length, filled up with a number above all pivots."""
+    rows = list(rows)
+    out = np.full((len(rows), max(map(len, rows))), np.iinfo(np.int64).max)
+    for row, numbers in zip(out, rows):
+        row[: len(numbers)] = numbers
+    return out
+
+
 def _met_before(pivot: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Of pairs of rows of named pivots: whether a pivot less than ``pivot`` is in both."""
     return ((left[:, :, None] == right[:, None, :]) & (left[:, :, None] < pivot)).any(axis=(1, 2))
@@ -98,7 +114,7 @@ def _search(threshold: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
         raw = np.array(list(members["embedding"]), np.float64)
         raw = np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1, keepdims=True))[1])  # exact, and no square overflows
         length = np.sqrt(np.einsum("ij,ij->i", raw, raw))
-        short, named = (raw / length[:, None]).astype(np.float32), np.array(members["pivots"].tolist(), np.int64)
+        short, named = (raw / length[:, None]).astype(np.float32), _rectangular(members["pivots"])
         home = named[:, 0]
         links = np.zeros(len(members), np.int64)
         ends: list[np.ndarray] = [np.empty((0, 2), np.int64)]
@@ -217,7 +233,7 @@ def near_duplicate_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedd
 
     # the inverted lists
     kind = dict(one.dtypes)["embedding"]
-    index = one.mapInPandas(_describe(pivots), f"rep long, k1 long, k2 long, n long, embedding {kind}, pivots array<int>")
+    index = one.mapInPandas(_describe(pivots, threshold), f"rep long, k1 long, k2 long, n long, embedding {kind}, pivots array<int>")
     index = cut(index)
     listed = index.select("*", F.explode("pivots").alias("pivot")).withColumn("home", F.get("pivots", F.lit(0)))
     long_lists = _blocks(listed.select("pivot", "home"))
