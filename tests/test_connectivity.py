@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weftgraph.functions.random import MODULUS, start_time
 from weftgraph.operators.contraction import component_labels_of_split, split_high_degree
 from weftgraph.operators.edges import breadth_first, degrees
 from weftgraph.operators.labels import numbered
@@ -87,6 +88,25 @@ def test_every_level_shrinks(spark, strategy):
     assert len(left) <= 6 and all(b <= 0.6 * a for a, b in zip(left, left[1:])) and all(x["seconds"] > 0 for x in trace)
 
 
+@pytest.mark.parametrize("apart", [MODULUS, 1 << 32, 3])
+def test_iterations_start_anew(spark, apart):
+    """Of two vertices that start together in one iteration, a twentieth does in the next, whatever their ids."""
+    a = F.col("id") * 7919
+    pair = spark.range(40_000).select(a.alias("a"), (a * F.col("id") + 3 if apart == 3 else a + apart).alias("b"))
+    for k in range(1, 5):
+        a, b = (start_time(F.col(c), 0.1, 1, 80_000, k) for c in pair.columns)
+        pair = pair.where(a == b)
+    assert pair.count() < 20  # 0.25 are expected
+
+
+def test_many_pairs_are_contracted_in_few_levels(spark):
+    edges = spark.range(2000).select((F.col("id") * 2).alias("src"), (F.col("id") * F.col("id") * 2 + 1).alias("dst"))
+    trace = []
+    labels = component_labels(Graph.of(edges), "exponential", base=20, trace=trace)
+    assert labels.where("label != if(v % 2 = 0, v, least(v, 2 * cast(sqrt((v - 1) / 2) as long)))").count() == 0
+    assert len(trace) <= 4
+
+
 def test_shelf(spark):
     shelf = Shelf(spark, "v long")
     assert shelf.all().count() == 0

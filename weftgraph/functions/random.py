@@ -14,13 +14,23 @@ MODULUS = 2147483647
 RANGE = MODULUS - 1
 
 
+#: Bits of an id that one round takes in.
+PIECE = 30
+
+
 def _scrambled(v: Column, iteration: int) -> Column:
-    """Another id for each iteration but the first. The generator is linear, so that without it two neighbours would start
-    about as far apart in every iteration, and what one does not bring together the next ones would not either."""
+    """Another number below the modulus for each iteration but the first, of the whole id. The generator is linear, so that what
+    an iteration adds must not be added alone: two neighbours would start as far apart in every iteration, and what one does
+    not bring together the next ones would not either. Each round adds a piece of the id and the iteration's own number, and squares."""
     if not iteration:
         return v
-    x = F.pmod(v, F.lit(MODULUS))
-    return (F.pmod(x * x + 48271 * iteration, F.lit(MODULUS)) * MULTIPLIER + x) % MODULUS
+    x, own = F.lit(0).cast("long"), iteration
+    for k in range(3):
+        own = (own * own + (k + 1) * 48271) * MULTIPLIER % MODULUS
+        piece = F.pmod(F.shiftright(v.cast("long"), PIECE * k), F.lit(1 << PIECE))
+        x = F.pmod(x + piece + own, F.lit(MODULUS))
+        x = F.pmod(x * x, F.lit(MODULUS)) * MULTIPLIER % MODULUS
+    return x
 
 
 def _state(v: Column, seed: int, n: int, iteration: int) -> Column:
