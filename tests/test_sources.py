@@ -12,6 +12,7 @@ from weftgraph import cli
 from weftgraph.plans.connectivity import component_labels
 from weftgraph.sources import generators
 from weftgraph.sources.readers import Source, load_graph, read_adjacency, read_adjacency_parts
+from weftgraph.sources.writers import write_edge_list_parts
 
 
 def pairs(graph):
@@ -72,6 +73,28 @@ def test_edge_list_parts(spark, tmp_path):
     assert pairs(load_graph(spark, Source("edgefiles", str(tmp_path / "g")))) == SIMPLE
 
 
+def test_edge_list_parts_of_folders_of_files(spark, tmp_path):
+    for k, (first, second) in enumerate([("p 6 4\ne 1 3\n", "e 2 3\n"), ("% c\n\n", "p 6 4\na 4 5\na 4 6\n")]):
+        (tmp_path / f"g h_{k}").mkdir()
+        file(tmp_path / f"g h_{k}", first, "part-00000")
+        file(tmp_path / f"g h_{k}", second, "part-00001")
+    graph = load_graph(spark, Source("edgefiles", str(tmp_path / "g h")))
+    assert pairs(graph) == SIMPLE and graph.vertices.count() == 6
+
+
+def test_edge_list_parts_written_in_many_files(spark, tmp_path):
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = spark.range(200).select(F.col("id").alias("src"), (F.col("id") + 200).alias("dst"))
+        write_edge_list_parts(edges, 400, 2, str(tmp_path / "g"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert len(list((tmp_path / "g_0").glob("part-*"))) > 1
+    graph = load_graph(spark, Source("edgefiles", str(tmp_path / "g")))
+    assert pairs(graph) == sorted([(i, i + 200) for i in range(200)] + [(i + 200, i) for i in range(200)]) and graph.vertices.count() == 400
+
+
 def test_unknown_source(spark):
     with pytest.raises(ValueError):
         load_graph(spark, Source("what"))

@@ -80,12 +80,16 @@ def read_edge_list(spark: SparkSession, path: str) -> Graph:
 
 
 def read_edge_list_parts(spark: SparkSession, path: str) -> Graph:
-    """Files ``<path>_0, <path>_1, ...``, each with its header; the first word of a line is not looked at. Both directions."""
+    """Files ``<path>_0, <path>_1, ...``, each with its header; the first word of a line is not looked at. Both directions.
+    A folder of files in the order of their names is one such file, with one header. A header a file is broadcast."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    depth = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(where).depth()
+    unit = F.substring_index(F.regexp_replace("file", "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", ""), "/", depth + 1)  # what is below belongs to it
     place = spark.read.text(f"{path}_*").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
-    rows = place.where(~F.col("value").startswith("%") & (F.trim("value") != "")).withColumn("id", F.monotonically_increasing_id())
-    heads = rows.where(F.col("at") == 0).groupBy("file").agg(F.min("id").alias("head"), F.min_by("value", "id").alias("header"))
+    rows = place.where(~F.col("value").startswith("%") & (F.trim("value") != "")).select("value", unit.alias("unit"), F.struct("file", "at", F.monotonically_increasing_id().alias("id")).alias("order"))
+    heads = rows.groupBy("unit").agg(F.min("order").alias("head"), F.min_by("value", "order").alias("header"))
     n = int(heads.agg(F.max(F.get(F.split(F.trim("header"), r"\s+"), F.lit(1)).cast("long"))).first()[0])
-    body = rows.join(heads.select(F.col("file").alias("f"), "head"), F.col("file") == F.col("f")).where(F.col("id") != F.col("head"))
+    body = rows.join(F.broadcast(heads.select(F.col("unit").alias("of"), "head")), F.col("unit") == F.col("of")).where(F.col("order") != F.col("head"))
     return Graph(symmetric(_edge_lines(body, marked=False)), spark.range(n).select(F.col("id").alias("v")))
 
 
