@@ -11,7 +11,7 @@ from weftgraph.operators.contraction import component_labels_of_split, split_hig
 from weftgraph.operators.edges import breadth_first, degrees
 from weftgraph.operators.labels import numbered
 from weftgraph.operators.partitions import owners
-from weftgraph.plans.connectivity import STRATEGIES, Graph, component_labels, symmetric
+from weftgraph.plans.connectivity import STRATEGIES, Graph, component_labels, endpoints, exponential_clusters, exponential_clusters_by_rounds, symmetric
 from weftgraph.plans.lineage import Shelf, cut
 from weftgraph.plans.unionfind import forest_edges, min_labels
 
@@ -107,6 +107,16 @@ def test_many_pairs_are_contracted_in_few_levels(spark):
     assert len(trace) <= 4
 
 
+def test_clusters_by_rounds_are_the_same_in_few_windows(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(80)]
+    both = cut(symmetric(graph_of(spark, edges, []).edges).where("src <> dst").distinct())
+    windows, add = [], Shelf.add
+    monkeypatch.setattr(Shelf, "add", lambda shelf, df: windows.append(add(shelf, df)))
+    grown, relaxed = (sorted(map(tuple, f(both, endpoints(both), 0.1, 1, 160, 1).collect())) for f in (exponential_clusters_by_rounds, exponential_clusters))
+    assert grown == relaxed and sum(windows) == len(grown) and len(windows) <= 4  # of 20, 20, 40, 80 steps
+
+
 def test_shelf(spark):
     shelf = Shelf(spark, "v long")
     assert shelf.all().count() == 0
